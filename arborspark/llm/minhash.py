@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import GOLDEN, column_of, cut, mix, over_texts, pair_hash, signed, word_names
+from .shared import GOLDEN, column_of, cut, mix, over_texts, pair_hash, signed, slices, texts_of, word_names
 
 MINIMA = 256
 ROWS = 5
@@ -108,10 +108,22 @@ def _sketch(size: int):
     return run
 
 
-def _sets(size: int):
-    def run(batch: pa.RecordBatch, raw: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        sets, of = shingle_sets(raw, at, size)
-        return pa.record_batch([column_of(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.array(signed(sets)))], names=["doc_id", "shingles"])
+def _agree(size: int, percent: int):
+    """Of rows with both texts, the ids of those whose full shingle sets reach the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text_a"):
+                a, at = shingle_sets(*texts_of(column_of(part, "text_a")), size)
+                b, bt = shingle_sets(*texts_of(column_of(part, "text_b")), size)
+                # a shingle of both stands twice in its row's sorted union
+                row = np.concatenate([np.repeat(np.arange(part.num_rows), np.diff(at)), np.repeat(np.arange(part.num_rows), np.diff(bt))])
+                name = np.concatenate([a, b])
+                order = np.lexsort((name, row))
+                name, row = name[order], row[order]
+                both = np.bincount(row[1:][(name[1:] == name[:-1]) & (row[1:] == row[:-1])], minlength=part.num_rows)
+                linked = 100 * both >= percent * (np.diff(at) + np.diff(bt) - both)
+                yield part.select(["a", "b"]).filter(pa.array(linked))
 
     return run
 
@@ -132,12 +144,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     """The pairs (a, b) whose full sets reach the similarity."""
     pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    sets = over_texts(texts, _sets(size), "doc_id long, shingles array<long>")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    texts = docs.join(wanted, "doc_id", "left_semi")
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_agree(size, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -149,26 +159,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(over_texts(docs, _sketch(shingle_words), "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sig array<long>"))
     some = rows.where("doc_id is not null and n_shingles > 0")
-    # one representative for all documents of the same set; a doc_id that repeats has several sets, so links tie them below
-    same = some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = some.select("set_hi", "set_lo", "doc_id").join(same.where("copies > 1"), ["set_hi", "set_lo"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    lone = some.join(same.select("set_hi", "set_lo", F.col("rep").alias("doc_id")), ["set_hi", "set_lo", "doc_id"], "left_semi")
-    lone = lone.dropDuplicates(["doc_id", "set_hi", "set_lo"])
-    banded = lone.select("doc_id", "sig", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("key", "hub")
-    sigs = lone.select("doc_id", "sig")
-    met = lone.select("doc_id", F.explode("bands").alias("key")).join(hubs, "key").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # documents of one set share its bands and signature, so any of theirs will do
+    lone = cut(some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")))
+    copies = some.select("set_hi", "set_lo", "doc_id").join(lone.where("copies > 1").select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    banded = lone.select(F.explode("bands").alias("key"), "rep")
+    hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    shared = cut(banded.join(hubs, "key"))
+    sigs = lone.select("rep", "sig")
     near = estimate(F.col("sa"), F.col("sb")) >= least_estimate(percent)
-    stars = met.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b").where(near).select("a", "b").distinct()
+    of_a, of_b = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+    # a doc_id that stands in several rows has several sets; its pair with itself means nothing
+    met = shared.select(F.col("hub").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    stars = cut(met.join(of_a, "a").join(of_b, "b").where(near).select("a", "b").distinct())
     links = cut(_confirmed(stars, docs, shingle_words, percent).distinct())
     parts = components(links)
-    # what is still apart within a bucket
-    labelled = lone.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "sig", "bands", F.coalesce("component", "doc_id").alias("part"))
-    members = cut(labelled.select("doc_id", "part", "sig", F.explode("bands").alias("key")).join(
-        labelled.select("part", F.explode("bands").alias("key")).groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key"), "key", "left_semi"))
-    one = members.select("key", F.col("doc_id").alias("a"), F.col("part").alias("pa"), F.col("sig").alias("sa"))
-    two = members.select("key", F.col("doc_id").alias("b"), F.col("part").alias("pb"), F.col("sig").alias("sb"))
-    apart = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near).select("a", "b").distinct()
+    # what still lies apart within a bucket
+    parted = shared.select("key", "rep").distinct().join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    parted = cut(parted)
+    mixed = parted.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    members = cut(parted.join(mixed, "key", "left_semi").join(sigs, "rep"))
+    one = members.select("key", F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("sig").alias("sa"))
+    two = members.select(F.col("key").alias("key_"), F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("sig").alias("sb"))
+    apart = one.join(two, (F.col("key") == F.col("key_")) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near).select("a", "b").distinct()
     more = _confirmed(apart.join(stars, ["a", "b"], "left_anti"), docs, shingle_words, percent)
     final = components(links.union(more).union(copies))
     out = rows.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
