@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import bpe, language_id, minhash, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": language_id.op2_language_id,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_near_duplicates": minhash.op5_near_duplicates,
+    "op6_token_counts": token_counts.op6_token_counts,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 #: Those whose rows SQL can give on whole tables.
