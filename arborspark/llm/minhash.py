@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Method: 255 minima of the shingle set give 51 bands of five; the lowest two bits
-of each of 256 minima are packed into two bit planes.  Documents that share a
+of each of 512 minima are packed into two bit planes.  Documents that share a
 band are candidates.  The number of agreeing b-bit minima, corrected for chance
 agreement (Li and Koenig, "b-Bit Minwise Hashing"), estimates the similarity; a
 pair within six standard deviations of the limit is then confirmed on the full
@@ -11,8 +11,11 @@ Skew: documents of equal sets collapse to one representative before banding.
 Of each band bucket, members first meet only the bucket's smallest member.  Once
 the links found so far are closed to components, only pairs of a bucket that
 still lie in different components are looked at: a pair within one component
-could not change the result.  Both rounds join on the band key, whose large
-groups adaptive execution splits.
+could not change the result.  Of these, the first round's exact counts rule out
+most: with c of n shingles shared with the bucket's smallest member, two members
+share at most min(c1, c2) + min(n1 - c1, n2 - c2), which bounds their similarity
+without comparing them.  Both rounds join on the band key, whose large groups
+adaptive execution splits.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**5)**51,
 below 2e-9.
@@ -33,9 +36,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import GOLDEN, column_of, cut, mix, over_texts, pair_hash, signed, slices, texts_of, word_names
+from .shared import GOLDEN, column_of, cut, having, mix, over_texts, pair_hash, signed, slices, texts_of, word_names
 
-MINIMA = 256
+MINIMA = 512
 ROWS = 5
 BANDS = 51
 _LANES = MINIMA // 64
@@ -108,8 +111,8 @@ def _sketch(size: int):
     return run
 
 
-def _agree(size: int, percent: int):
-    """Of rows with both texts, the ids of those whose full shingle sets reach the similarity."""
+def _agree(size: int):
+    """Of rows with both texts: how many shingles they share, and how many each has."""
 
     def run(batches):
         for batch in batches:
@@ -122,8 +125,7 @@ def _agree(size: int, percent: int):
                 order = np.lexsort((name, row))
                 name, row = name[order], row[order]
                 both = np.bincount(row[1:][(name[1:] == name[:-1]) & (row[1:] == row[:-1])], minlength=part.num_rows)
-                linked = 100 * both >= percent * (np.diff(at) + np.diff(bt) - both)
-                yield part.select(["a", "b"]).filter(pa.array(linked))
+                yield pa.record_batch([column_of(part, "a"), column_of(part, "b"), *(pa.array(x.astype(np.int64)) for x in (both, np.diff(at), np.diff(bt)))], names=["a", "b", "both", "n_a", "n_b"])
 
     return run
 
@@ -140,14 +142,13 @@ def least_estimate(percent: int) -> float:
     return (agree - 6 * (agree * (1 - agree) / MINIMA) ** 0.5 - 0.25) / 0.75
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
+def _compared(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """a, b, both, n_a, n_b of the pairs (a, b) on their full sets."""
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct())
+    texts = having(docs, wanted, "doc_id")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_agree(size, percent), "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_agree(size), "a long, b long, both long, n_a long, n_b long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -167,21 +168,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     shared = cut(banded.join(hubs, "key"))
     sigs = lone.select("rep", "sig")
     near = estimate(F.col("sa"), F.col("sb")) >= least_estimate(percent)
+    linked = F.expr(f"100 * both >= {percent} * (n_a + n_b - both)")
     of_a, of_b = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
     # a doc_id that stands in several rows has several sets; its pair with itself means nothing
     met = shared.select(F.col("hub").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     stars = cut(met.join(of_a, "a").join(of_b, "b").where(near).select("a", "b").distinct())
-    links = cut(_confirmed(stars, docs, shingle_words, percent).distinct())
+    compared = cut(_compared(stars, docs, shingle_words).distinct())
+    links = compared.where(linked).select("a", "b")
     parts = components(links)
-    # what still lies apart within a bucket
-    parted = shared.select("key", "rep").distinct().join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    parted = cut(parted)
+    # what still lies apart within a bucket, with the counts shared with its hub; a repeated doc_id has no certain counts
+    sure = compared.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("both").alias("c"), F.min("n_b").alias("n")).where("times = 1").select(F.col("a").alias("hub"), F.col("b").alias("rep"), "c", "n")
+    parted = cut(shared.distinct().join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("part")))
     mixed = parted.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    members = cut(parted.join(mixed, "key", "left_semi").join(sigs, "rep"))
-    one = members.select("key", F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("sig").alias("sa"))
-    two = members.select(F.col("key").alias("key_"), F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("sig").alias("sb"))
-    apart = one.join(two, (F.col("key") == F.col("key_")) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near).select("a", "b").distinct()
-    more = _confirmed(apart.join(stars, ["a", "b"], "left_anti"), docs, shingle_words, percent)
+    members = cut(parted.join(mixed, "key", "left_semi").join(sigs, "rep").join(sure, ["hub", "rep"], "left"))
+    # pairs with the hub itself were compared already
+    plain = members.where("rep <> hub")
+    one = plain.select("key", F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("sig").alias("sa"), F.col("c").alias("ca"), F.col("n").alias("na"))
+    two = plain.select(F.col("key").alias("key_"), F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("sig").alias("sb"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+    most = "(least(ca, cb) + least(na - ca, nb - cb))"
+    possible = F.coalesce(F.expr(f"100 * {most} >= {percent} * (na + nb - {most})"), F.lit(True))
+    apart = one.join(two, (F.col("key") == F.col("key_")) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & possible & near).select("a", "b").distinct()
+    more = _compared(cut(apart.join(stars, ["a", "b"], "left_anti")), docs, shingle_words).where(linked).select("a", "b")
     final = components(links.union(more).union(copies))
     out = rows.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

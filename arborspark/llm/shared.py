@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one slice holds, unless a single text is longer.
 SLICE_BYTES = 1 << 21
@@ -163,5 +164,14 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+#: Ids that may be broadcast: a hash table of so many longs takes a few tens of MB.
+BROADCAST_IDS = 400_000
+
+
+def having(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among the ids (distinct, cheap to count): broadcast if few, else a shuffled semi-join."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
