@@ -23,7 +23,9 @@ packed each; an empty table gives no rows.  Only the id and the text are read.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
 
@@ -35,14 +37,17 @@ from pyspark.sql import functions as F
 from .shared import column_of, cut, documents, over_texts
 
 #: Words that a worker's table of encoded words may hold before it is emptied.
-TABLE = 300_000
+TABLE = 500_000
+#: Marks that may close a word.
+MARKS = b".,;:!?"
 
 
 class WordEncoder:
     """Ids of whole texts, as little-endian 32-bit bytes, by a tokenizer that drops white space.
 
     Such a tokenizer never joins characters across ASCII white space, so each word
-    between white space is encoded once and remembered.
+    between white space is encoded once and remembered.  It must also lower-case, and
+    match marks apart from letters and digits, as the one for word ends does.
     """
 
     def __init__(self, path: str):
@@ -50,17 +55,29 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are packed as native 32-bit little-endian words")
         self.table: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
-        wanted = set().union(*split)
-        if len(self.table) > TABLE:
-            self.table.clear()
-        new = [word for word in wanted if word not in self.table]
-        for word, made in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-            self.table[word] = np.array(made.ids, "<u4").tobytes()
-        return [b"".join(map(self.table.__getitem__, ws)) for ws in split]
+        table = self.table
+        if len(table) > TABLE:
+            table.clear()
+        new = set().union(*split).difference(table)
+        # a word's closing marks are matched apart from a letter or digit before them, and case does not count
+        parts = {}
+        for word in new:
+            small = word.lower()
+            stem = small.rstrip(MARKS)
+            parts[word] = (stem, small[len(stem) :]) if stem and stem[-1:].isalnum() else (small, b"")
+        wanted = {part for pair in parts.values() for part in pair if part and part not in table}
+        wanted = list(wanted)
+        for word, made in zip(wanted, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in wanted], add_special_tokens=False), strict=True):
+            table[word] = array("I", made.ids).tobytes()
+        for word, (stem, marks) in parts.items():
+            table[word] = table[stem] + table[marks] if marks else table[stem]
+        return [b"".join(map(table.__getitem__, ws)) for ws in split]
 
 
 @lru_cache(maxsize=2)
