@@ -68,7 +68,7 @@ def _covering(n: int, start: np.ndarray, stop: np.ndarray, value: np.ndarray) ->
     return out
 
 
-def word_runs(names: np.ndarray, of: np.ndarray, rounds: int = 6, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_runs(names: np.ndarray, of: np.ndarray, rounds: int = 4, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, first and last window of the runs over words, anchored at symbols of recompression.
 
     A window's anchor is its certain symbol of the highest level, then of the least
@@ -125,33 +125,36 @@ def doubled(raw: np.ndarray) -> dict[int, np.ndarray]:
     for offset in (1, 2, 4):
         wide[:-offset] |= wide[offset:] << np.uint64(8 * offset)
     names = {8: wide}
-    for size in (8, 16):
+    for size in (8, 16):  # 32 and the window's 50 = 32 + 18 follow in window_names
         x = names[size]
         names[2 * size] = pair_hash(x[:-size], x[size:])
     return names
 
 
+def window_names(raw: np.ndarray) -> np.ndarray:
+    """Names of the 50 bytes from every position: the pair of the 32-byte ranks there and 18 further on."""
+    names = doubled(raw)[32]
+    return pair_hash(names[:-18], names[18:])[: len(raw)]
+
+
+#: Offsets in a window at which its byte anchor may begin: the 16 bytes from there on lie within the window.
+OFFSETS = WINDOW - 15
+
+
 def byte_runs(raw: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, first and last window of the runs over bytes.
 
-    A window's anchor is its 8-byte name of the least hash, the leftmost of equal
-    ones.  A window that begins at most 25 bytes before its anchor has the 25 bytes
-    from the anchor on for its key, another one the 34 bytes from 26 before.
+    A window's anchor is the 8-byte name of the least hash among its first OFFSETS
+    positions, the leftmost of equal ones; the key is the name of the 16 bytes from
+    there on.
     """
-    n = int(of[-1])
     valid = window_starts(of, WINDOW)
-    none = np.zeros(0, np.int64)
     if not valid.any():
+        none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none
     names = doubled(raw)
     low = np.uint64((1 << 31) - 1)
-    order = mix(names[8][:n]) & ~low | np.arange(n, dtype=np.uint64)
-    anchor = (least_within(order, WINDOW - 7) & low).astype(np.int64)
-    near = anchor - np.arange(n) <= 25
-    first, last = _runs(valid, anchor * 2 + near)
-    at, right = anchor[first], near[first]
-    key = np.empty(len(first), np.uint64)
-    r, left = at[right], at[~right] - 26
-    key[right] = pair_hash(names[16][r], names[16][r + 9])
-    key[~right] = pair_hash(names[32][left], names[32][left + 2] ^ np.uint64(1))
-    return key, first, last
+    order = mix(names[8][: len(raw)]) & ~low | np.arange(len(raw), dtype=np.uint64)
+    anchor = (least_within(order, OFFSETS) & low).astype(np.int64)
+    first, last = _runs(valid, anchor)
+    return names[16][anchor[first]], first, last

@@ -223,13 +223,18 @@ def fit(docs: DataFrame, usable: Column, per_language: int = 160, longest: int =
 
 
 def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
-    """The rows of docs (any columns, a text among them) with lang_pred, score, cross_entropy and accepted."""
+    """The rows of docs (any columns, a text among them) with lang_pred, score, cross_entropy and accepted as the last columns.
+
+    A name that docs has already gets underscores at its end.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(models)  # its size is bounded by the sample's
-    made = ("lang_pred", "score", "cross_entropy", "accepted")
+    made = []
+    for name in ("lang_pred", "score", "cross_entropy", "accepted"):
+        while name in docs.columns:
+            name += "_"
+        made.append(name)
     schema = StructType(list(docs.schema.fields))
     for name, kind in zip(made, ("string", "double", "double", "boolean"), strict=True):
-        if name in docs.columns:
-            raise ValueError(f"docs has a column {name} already")
         schema = schema.add(name, kind)
 
     def run(batch: pa.RecordBatch, raw: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
