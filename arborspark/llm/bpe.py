@@ -33,8 +33,8 @@ from .shared import column_of, documents, over_texts
 
 #: The characters that the split pattern's \s stands for: Unicode's White_Space property (fixed values).
 WHITE = r"\t-\r \x85\xa0  -     　"
-#: Entries that a worker's tables may hold before they are emptied.
-TABLE = 300_000
+#: Entries that a worker's tables may hold before they are emptied: of pieces and pairs, and of units.
+TABLE, UNITS = 300_000, 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -135,12 +135,12 @@ class EditableText:
 class _Table(dict):
     """A bounded memo of a function."""
 
-    def __init__(self, fn: Callable):
+    def __init__(self, fn: Callable, most: int):
         super().__init__()
-        self.fn = fn
+        self.fn, self.most = fn, most
 
     def __missing__(self, key):
-        if len(self) > TABLE:
+        if len(self) > self.most:
             self.clear()
         value = self[key] = self.fn(key)
         return value
@@ -154,8 +154,8 @@ class TextCodec:
         own = pattern.replace(r"[^\s", rf"[^{WHITE}").replace(r"\S", rf"[^{WHITE}]").replace(r"\s", rf"[{WHITE}]")
         self.match = regex.compile(own, regex.V0).findall
         self.units = regex.compile(rf"[{WHITE}]*+[^{WHITE}]++|[{WHITE}]++").findall
-        self.pieces = _Table(lambda piece: " ".join(map(str, self.encoder.encode(piece.encode("utf-8")))))
-        self.cached = _Table(lambda unit: " ".join(map(self.pieces.__getitem__, self.match(unit))))
+        self.pieces = _Table(lambda piece: " ".join(map(str, self.encoder.encode(piece.encode("utf-8")))), TABLE)
+        self.cached = _Table(lambda unit: " ".join(map(self.pieces.__getitem__, self.match(unit))), UNITS)
         self.bytes_of = {str(rank): token for token, rank in ranks.items()}
 
     def encode(self, text: str) -> str:
