@@ -137,16 +137,17 @@ def window_names(raw: np.ndarray) -> np.ndarray:
     return pair_hash(names[:-18], names[18:])[: len(raw)]
 
 
-#: Offsets in a window at which its byte anchor may begin: the 16 bytes from there on lie within the window.
-OFFSETS = WINDOW - 15
+#: Offsets in a window at which its byte anchor may begin: the KEY_BYTES from there on lie within the window.
+KEY_BYTES = 25
+OFFSETS = WINDOW - KEY_BYTES + 1
 
 
 def byte_runs(raw: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, first and last window of the runs over bytes.
 
     A window's anchor is the 8-byte name of the least hash among its first OFFSETS
-    positions, the leftmost of equal ones; the key is the name of the 16 bytes from
-    there on.
+    positions, the leftmost of equal ones; the key names the KEY_BYTES from there on
+    by the 16-byte ranks at both of their ends.
     """
     valid = window_starts(of, WINDOW)
     if not valid.any():
@@ -157,4 +158,5 @@ def byte_runs(raw: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     order = mix(names[8][: len(raw)]) & ~low | np.arange(len(raw), dtype=np.uint64)
     anchor = (least_within(order, OFFSETS) & low).astype(np.int64)
     first, last = _runs(valid, anchor)
-    return names[16][anchor[first]], first, last
+    at = anchor[first]
+    return pair_hash(names[16][at], names[16][at + KEY_BYTES - 16]), first, last
