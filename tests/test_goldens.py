@@ -1,5 +1,6 @@
 """Values computed by hand for small ontologies."""
 
+import json
 import math
 
 import pytest
@@ -248,3 +249,15 @@ def test_parser(load, spark, tmp_path):
     path.write_text(fixtures.HEAD)
     empty = read_obo(spark, f"file://{path}")
     assert empty.terms.isEmpty() and empty.closed.isEmpty()
+
+
+def test_dump(load, spark, tmp_path):
+    from arborspark.sources.dump import read_dump, write_dump
+
+    onto = load("HIERARCHICAL")
+    held = spark.createDataFrame([("Child2", "x"), ("Child2", "y")], "term string, item string")
+    write_dump(onto, f"file://{tmp_path}/d", cohort(spark), held)
+    again, rows, more = read_dump(spark, f"file://{tmp_path}/d")
+    assert again.same_as(onto) and sets(rows) == sets(cohort(spark)) and sets(more, "term", "item") == {"Child2": ["x", "y"]}
+    assert {r.term for r in again.obsoletes.collect()} == {"Child1", "Child5"}
+    assert json.loads(next((tmp_path / "d").glob("part-*")).read_text())["terms"]["Parental"] == {"id": "Parental", "name": "All", "comment": "none"}
