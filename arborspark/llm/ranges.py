@@ -47,7 +47,8 @@ class Ranges:
         upto = lambda arr: F.size(F.filter(arr, lambda x: x <= key))
         block = upto(_constant(as_rows([x[0] for x in blocks]), "array<struct<a:bigint,b:bigint>>"))
         inner = F.element_at(_constant([as_rows(x) for x in blocks], "array<array<struct<a:bigint,b:bigint>>>"), block)
-        return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + upto(inner))
+        # never null, and told so: no filter for nulls then sets plans of the same rows apart
+        return F.coalesce(F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + upto(inner)), F.lit(0))
 
     def before(self, what: list[int], number: Column) -> Column:
         """The sum of what over the ranges before this one."""

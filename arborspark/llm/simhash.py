@@ -118,8 +118,9 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_", F.lit(1), half))
     paired = paired.select("r_", "i_", "doc_id", "text", edited.alias("edited"))
     meta = paired.select("r_", "i_", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    both = paired.select("r_", "i_", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x")).select("r_", "i_", "x.kind", "x.t")
-    made = fingerprints(both, ["r_", "i_", "kind"], "t")
+    # doc_id goes along only so that this branch reads the same shuffled texts as meta
+    both = paired.select("r_", "i_", "doc_id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x")).select("r_", "i_", "doc_id", "x.kind", "x.t")
+    made = fingerprints(both, ["r_", "i_", "doc_id", "kind"], "t")
     own = made.where("kind = 0").select("r_", "i_", "hi", "lo")
     other = made.where("kind = 1").select("r_", "i_", F.col("hi").alias("e_hi"), F.col("lo").alias("e_lo"))
     table = cut(meta.join(own, ["r_", "i_"], "left").join(other, ["r_", "i_"], "left").fillna(0, ["hi", "lo", "e_hi", "e_lo"]))
