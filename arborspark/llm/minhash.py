@@ -11,11 +11,10 @@ Skew: documents of equal sets collapse to one representative before banding.
 Of each band bucket, members first meet only the bucket's smallest member.  Once
 the links found so far are closed to components, only pairs of a bucket that
 still lie in different components are looked at: a pair within one component
-could not change the result.  Of these, the first round's exact counts rule out
-most: with c of n shingles shared with the bucket's smallest member, two members
-share at most min(c1, c2) + min(n1 - c1, n2 - c2), which bounds their similarity
-without comparing them.  Both rounds join on the band key, whose large groups
-adaptive execution splits.
+could not change the result.  Documents that were all compared with one bucket's
+smallest member meet as its group, in cells of bounded size that hold their full
+sets and give nothing but links between components; other pairs join on the band
+key, whose large groups adaptive execution splits.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**5)**51,
 below 2e-9.
@@ -151,6 +150,60 @@ def _compared(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_agree(size), "a long, b long, both long, n_a long, n_b long")
 
 
+#: Members of a hub's group that meet in one cell, and shingles counted at a time there.
+CELL, COLUMNS = 2000, 2048
+
+
+def _cell_links(size: int, percent: int):
+    """Links between members of different components in one cell, one for each pair of components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        raw, at = texts_of(column_of(batch, "text"))
+        sets, of = shingle_sets(raw, at, size)
+        rep, part, block = (column_of(batch, c).to_numpy(zero_copy_only=False) for c in ("rep", "part", "block"))
+        n, count = len(rep), np.diff(of)
+        row = np.repeat(np.arange(n), count)
+        names, column, times = np.unique(sets, return_inverse=True, return_counts=True)
+        often = times > 1
+        place = np.cumsum(often) - 1
+        keep = often[column]
+        row, column = row[keep], place[column[keep]]
+        both = np.zeros((n, n), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for start in range(0, int(often.sum()), COLUMNS):
+            a, b = np.searchsorted(column, (start, start + COLUMNS))
+            dense = np.zeros((n, COLUMNS), np.float32)
+            dense[row[a:b], column[a:b] - start] = 1
+            both += dense @ dense.T
+        linked = 100 * both >= percent * (count[:, None] + count[None, :] - both)
+        linked &= (part[:, None] < part[None, :])
+        i, j = (int(column_of(batch, c)[0].as_py()) for c in ("i", "j"))
+        if i != j:
+            linked &= block[:, None] != block[None, :]
+        x, y = np.nonzero(linked)
+        _, first = np.unique(np.stack([part[x], part[y]], 1), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+        return pa.table({"a": rep[x[first]], "b": rep[y[first]]})
+
+    return run
+
+
+def _within_groups(compared: DataFrame, parts: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links between components within the groups of documents compared with one hub.
+
+    A task holds two blocks of a group at most and gives links only, so a group of
+    thousands of near copies yields neither a large task nor its pairs as rows.
+    """
+    members = compared.select(F.col("a").alias("hub"), F.col("b").alias("rep")).distinct().join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("part"))
+    groups = members.groupBy("hub").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("hub", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
+    dealt = members.join(groups, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cut(dealt.select("hub", "rep", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    texts = having(docs, cut(cells.select(F.col("rep").alias("doc_id")).distinct()), "doc_id")
+    full = cells.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("hub", "rep", "part", "block", "i", "j", "text")
+    return full.groupBy("hub", "i", "j").applyInArrow(_cell_links(size, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """Each row's class of near copies: doc_id, n_shingles, component_id, kept.
 
@@ -176,20 +229,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     compared = cut(_compared(stars, docs, shingle_words).distinct())
     links = compared.where(linked).select("a", "b")
     parts = components(links)
-    # what still lies apart within a bucket, with the counts shared with its hub; a repeated doc_id has no certain counts
-    sure = compared.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("both").alias("c"), F.min("n_b").alias("n")).where("times = 1").select(F.col("a").alias("hub"), F.col("b").alias("rep"), "c", "n")
+    # what still lies apart within a bucket, and whether it was compared with the bucket's hub
+    sure = compared.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.lit(1).alias("c")).distinct()
     parted = cut(shared.distinct().join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("part")))
     mixed = parted.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
     members = cut(parted.join(mixed, "key", "left_semi").join(sigs, "rep").join(sure, ["hub", "rep"], "left"))
-    # pairs with the hub itself were compared already
+    # pairs with the hub itself were compared already, and pairs of documents compared with the hub meet in its group
+    grouped = _within_groups(compared, parts, docs, shingle_words, percent)
     plain = members.where("rep <> hub")
-    one = plain.select("key", F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("sig").alias("sa"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    two = plain.select(F.col("key").alias("key_"), F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("sig").alias("sb"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    most = "(least(ca, cb) + least(na - ca, nb - cb))"
-    possible = F.coalesce(F.expr(f"100 * {most} >= {percent} * (na + nb - {most})"), F.lit(True))
-    apart = one.join(two, (F.col("key") == F.col("key_")) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & possible & near).select("a", "b").distinct()
+    one = plain.select("key", F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("sig").alias("sa"), F.col("c").isNotNull().alias("ga"))
+    two = plain.select(F.col("key").alias("key_"), F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("sig").alias("sb"), F.col("c").isNotNull().alias("gb"))
+    apart = one.join(two, (F.col("key") == F.col("key_")) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & ~(F.col("ga") & F.col("gb")) & near).select("a", "b").distinct()
     more = _compared(cut(apart.join(stars, ["a", "b"], "left_anti")), docs, shingle_words).where(linked).select("a", "b")
-    final = components(links.union(more).union(copies))
+    final = components(links.union(more).union(grouped).union(copies))
     out = rows.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

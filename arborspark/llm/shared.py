@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one slice holds, unless a single text is longer.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 #: Odd constant of the SplitMix64 sequence, and the multipliers of its finaliser (fixed values).
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
