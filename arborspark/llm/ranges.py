@@ -68,24 +68,24 @@ class Ranges:
 
 def sampled_ranges(df: DataFrame, a: str, b: str, weight: str) -> Ranges:
     """Ranges of near-equal weight over the keys (a, b) of df, both long and not null."""
-    total = df.count()
+    total, mass = df.agg(F.count("*"), F.sum(weight)).first()
     wanted = max(LEAST_RANGES, -(-total // ROWS_A_RANGE))
 
-    def drawn(rows: DataFrame, number: int, seed: int) -> list[tuple[int, int]]:
-        # the least of -ln(u) / weight: a sample without replacement in proportion to the weight
+    def drawn(rows: DataFrame, mass: int, number: int, seed: int) -> list[tuple[int, int]]:
+        # a row is taken if an exponential variable of its weight's rate stays below a limit: as many as wanted on average, whatever the number of rows or tasks
         u = (F.pmod(F.xxhash64(a, b, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        keys = rows.select(a, b, (-F.log(u) / F.col(weight)).alias("p_")).orderBy("p_", a, b).limit(number * PER_RANGE).select(a, b).collect()
+        keys = rows.where(-F.log(u) / F.col(weight) <= number * PER_RANGE / max(mass or 0, 1)).select(a, b).collect()
         keys = sorted((r[0], r[1]) for r in keys)
         return [keys[i * len(keys) // number] for i in range(1, number)] if keys else []
 
-    splitters = sorted(set(drawn(df, wanted, 1)))
+    splitters = sorted(set(drawn(df, mass, wanted, 1)))
     for turn in range(2, 6):
         found = Ranges(splitters, [], [])
         counted = {r["r_"]: (r["n"], r["w"]) for r in df.groupBy(found.of(a, b).alias("r_")).agg(F.count("*").alias("n"), F.sum(weight).alias("w")).collect()}
         over = [r for r, (n, _) in counted.items() if n > OVERFULL * max(1, total / wanted) and n > 1000]
         if not over or turn == 5:
             break
-        extra = set(drawn(df.where(found.of(a, b).isin(over)), 4 * len(over) * OVERFULL, turn)) - set(splitters)
+        extra = set(drawn(df.where(found.of(a, b).isin(over)), sum(counted[r][1] for r in over), 4 * len(over) * OVERFULL, turn)) - set(splitters)
         if not extra:
             break
         splitters = sorted({*splitters, *extra})
