@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .shared import column_of, cut, documents, over_texts
 
 #: Words that a worker's table of encoded words may hold before it is emptied.
-TABLE = 500_000
+TABLE = 1_200_000
 #: Marks that may close a word.
 MARKS = b".,;:!?"
 
