@@ -7,11 +7,19 @@ won.  Votes are counted by sums of masked shifts, two 32-bit counters in a long,
 so the aggregation stays in generated code.  Likeness of two fingerprints is the
 share of equal bits.
 
-Fingerprints within a Hamming radius are found in permuted block tables: of
-radius + 1 blocks at least one is equal in such a pair, so each block in turn
-leads a table that is joined on it; a pair counts in the first block that
+Pairs of fingerprints within a small Hamming radius are found in permuted block
+tables: of radius + 1 blocks at least one is equal in such a pair, so each block
+in turn leads a table that is joined on it; a pair counts in the first block that
 agrees, and is then verified on all bits.
 
+n_near counts rows within a wide radius, where radius + 1 blocks get too short.
+Of radius / 2 + 1 blocks one differs in at most one bit in such a pair, so of its
+four parts three are equal: each block gives four tables, joined on three of its
+parts.  All pairs are found; a pair counts in the first table that agrees.  Equal
+fingerprints are one row with a weight, and no pair is written: the join feeds
+sums.  The work grows with the square of the number of distinct fingerprints,
+about a twentieth of all pairs being looked at.
+
 Defined cases: a null text is empty; a text without words has no votes and the
 fingerprint of all zeros; repeated rows are fingerprinted each; among equal
 doc_ids the order is that of the text's hash; null doc_ids come last; a single
@@ -29,6 +37,12 @@ from .shared import cut, documents
 _PAIR = 0x0000000100000001
 _HALVES = ("hi", "lo")
 
+#: Bits of 128 within which fingerprints are near: texts of a five-word similarity of 0.8 seldom lie farther apart.
+RADIUS = 19
+
+#: Rows of one table and key that are held against each other in one cell.
+CELL_ROWS = 1 << 14
+
 
 def term_hashes(text: Column) -> Column:
     """An array of the hashes of all terms of a text, in order, with repeats."""
@@ -91,14 +105,60 @@ def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     return found.select("a_hi", "a_lo", "b_hi", "b_lo", distance("a_", "b_").alias("distance"))
 
 
-def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """hi, lo, n_near of each distinct fingerprint: the other rows of prints (hi, lo) within the radius, those with the same fingerprint included."""
+    if not 1 <= radius <= 31:
+        raise ValueError("radius is 1 to 31")
+    each = (radius // 2 + 2) // 2  # blocks of a half; twice as many are radius // 2 + 1 at least
+    edges = [64 * k // (4 * each) for k in range(4 * each + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    blocks = [(half, parts[4 * i : 4 * i + 4]) for half in _HALVES for i in range(each)]
+    mask = lambda bits: F.lit(_signed(bits)).cast("long")
+
+    whole = prints.groupBy("hi", "lo").agg(F.count("*").alias("w")).select(*(F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("hi", "lo", "w")))
+    distinct = cut(whole)
+    values = [F.col(half).bitwiseAND(mask(sum(four) - left)) for half, four in blocks for left in four]
+    tables = distinct.select("hi", "lo", "w", F.posexplode(F.array(*values)).alias("table", "value"))
+    # a large group is dealt to chunks, and each two of these meet in a cell
+    large = cut(tables.groupBy("table", "value").count().where(F.col("count") > CELL_ROWS).select("table", "value", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("chunks")))
+    if large.isEmpty():
+        rows = tables.withColumns({"chunk": F.lit(0), "cell": F.lit(0).cast("long")})
+    else:
+        # tables and values are few, so large is small however many rows there are
+        rows = tables.join(F.broadcast(large), ["table", "value"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("hi", "lo"), F.col("chunks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rows = rows.withColumn("cell", F.least("chunk", "other").cast("long") * F.col("chunks") + F.greatest("chunk", "other")).withColumn("chunk", F.when(F.col("chunk") == F.col("other"), F.lit(-1)).otherwise(F.col("chunk"))).drop("other", "chunks")
+    side = lambda name: rows.select(F.col("table").alias(f"{name}table"), F.col("value").alias(f"{name}value"), F.col("cell").alias(f"{name}cell"), *(F.col(c).alias(f"{name}{c}") for c in ("hi", "lo", "w", "chunk")))
+    differ = lambda half, bits: F.col(f"a_{half}").bitwiseXOR(F.col(f"b_{half}")).bitwiseAND(mask(bits)) != 0
+    within = distance("a_", "b_") <= radius
+    unequal = (F.col("a_hi") != F.col("b_hi")) | (F.col("a_lo") != F.col("b_lo"))
+    cells = (F.col("a_chunk") != F.col("b_chunk")) | (F.col("a_chunk") == -1) if not large.isEmpty() else F.lit(True)
+    earlier, same = F.lit(False), F.lit(False)
+    for i, (half, four) in enumerate(blocks):
+        agrees = sum((differ(half, bits).cast("int") for bits in four[1:]), differ(half, four[0]).cast("int")) <= 1
+        earlier = earlier | (F.col("a_table") >= 4 * i + 4) & agrees
+        # four tables find a pair with an equal block: the first one counts it
+        same = same | F.col("a_table").between(4 * i + 1, 4 * i + 3) & ~differ(half, sum(four))
+    a, b = side("a_"), side("b_")
+    keys = (F.col("a_table") == F.col("b_table")) & (F.col("a_value") == F.col("b_value")) & (F.col("a_cell") == F.col("b_cell"))
+    found = a.join(b.hint("merge"), keys & within & unequal & cells & ~same & ~earlier)
+    sums = found.groupBy(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).agg(F.sum("b_w").alias("n"))
+    return distinct.join(sums, ["hi", "lo"], "left").select("hi", "lo", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_near"))
+
+
+def edited_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many
     first ones of the next document's, by falling doc_id; after the last comes the
     first.  Texts move once, to the range of their doc_id; the next one is then in
     the same range, or the first of the next range.  n_near counts the other
-    fingerprints of the table within the radius.
+    rows of the table whose fingerprints lie within the radius.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({
@@ -128,8 +188,7 @@ def edited_fingerprints(docs: DataFrame, radius: int = 3) -> DataFrame:
     chained = table.withColumn("next_", F.lead(pair).over(Window.partitionBy("r_").orderBy("i_")))
     starts = table.where("i_ = 1").select(F.element_at(prior, F.col("r_") + 1).alias("r_"), pair.alias("wrap_"))
     chained = chained.join(starts, "r_", "left").withColumn("next_", F.coalesce("next_", "wrap_")).withColumns({"n_hi": F.col("next_.hi"), "n_lo": F.col("next_.lo"), "o_hi": F.col("hi"), "o_lo": F.col("lo")})
-    near = cut(near_fingerprints(table, radius))
-    counts = near.select(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).union(near.select("b_hi", "b_lo")).groupBy("hi", "lo").agg(F.count("*").alias("n_near"))
+    counts = near_counts(table, radius)
     likeness = lambda a, b: 1 - distance(a, b) / 128.0
     return chained.join(counts, ["hi", "lo"], "left").select(
         "doc_id", "n_chars", "edited_sha256", as_hex("hi", "lo").alias("fingerprint"), as_hex("e_hi", "e_lo").alias("edited_fingerprint"),

@@ -242,6 +242,33 @@ def test_near_fingerprints(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_counts(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [rng.getrandbits(128) for _ in range(30)]
+    for b in base[:12]:
+        base += [b ^ sum(1 << x for x in rng.sample(range(128), k)) for k in (1, 2, 10, 18, 19, 20, 21)]
+    base += base[:5] + [0, 0, 0]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(b >> 64), signed(b & (1 << 64) - 1)) for b in base], "hi long, lo long")
+    for radius, cell in ((3, 1 << 14), (18, 1 << 14), (19, 1 << 14), (19, 3)):
+        monkeypatch.setattr(simhash, "CELL_ROWS", cell)
+        want = {b: sum((a ^ b).bit_count() <= radius for a in base) - 1 for b in base}
+        got = simhash.near_counts(table, radius).collect()
+        assert len(got) == len(want) and {(r.hi % (1 << 64)) << 64 | r.lo % (1 << 64): r.n_near for r in got} == want
+
+
+def test_near_copies_of_one_word_changed_are_near(spark):
+    rng = random.Random(8)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    rows = []
+    for i in range(12):
+        words = [rng.choice(pool) for _ in range(150)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:70] + ["changed"] + words[71:]))]
+    rows += [(100, "one text only"), (101, "one text only")]
+    got = {r.doc_id: r.n_near for r in simhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 1 for i in range(24)) and got[100] == got[101] == 1
+
+
 def test_language_id(spark, docs):
     rng = random.Random(11)
     kinds = {"aa": "the and ing ion er".split(), "bb": "sch ung ein der ß".split(), "cc": "é eau oi ment la".split()}
