@@ -87,7 +87,8 @@ class Ontology:
         """id, main: every id that stands for a term, alternatives followed to their end, before terms of the same id."""
         alt = self.alternatives.select(F.col("alt").alias("id"), "main")
         known = self.terms.select("term")
-        for _ in range(8):
+        # a chain has no more links than there are alternatives; what moves after these doublings lies in a circle
+        for _ in range(alt.count().bit_length() + 1):
             onward = alt.select(F.col("id").alias("main"), F.col("main").alias("next"))
             moved = cut(alt.join(onward, "main", "left").select("id", F.coalesce("next", "main").alias("main")))
             settled = moved.exceptAll(alt).isEmpty()

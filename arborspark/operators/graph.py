@@ -61,18 +61,19 @@ def longest_levels(terms: DataFrame, edges: DataFrame, most_rounds: int = 1000)
     raise RuntimeError("the hierarchy is cyclic")
 
 
-def root_paths(terms: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def root_paths(terms: DataFrame, edges: DataFrame) -> DataFrame:
     """term, path: every way from a term to a parentless node, the term first.
 
     Ways are as many as the hierarchy's diamonds make them; ask for them only when
-    they are wanted.  A term in a cycle has the ways that leave it.
+    they are wanted.  A term in a cycle has the ways that leave it.  No way meets a
+    node twice, so rounds end with the longest one.
     """
     step = edges.select(F.col("child").alias("at"), "parent")
     grown = terms.select("term", F.array("term").alias("path"), F.col("term").alias("at"))
     done = []
-    for _ in range(most_rounds):
+    while True:
         grown = cut(grown)
-        if grown.isEmpty():
+        if done and grown.isEmpty():
             break
         done.append(grown.join(step.select("at"), "at", "left_anti").select("term", "path"))
         grown = grown.join(step, "at").where(~F.array_contains("path", F.col("parent"))).select("term", F.concat("path", F.array("parent")).alias("path"), F.col("parent").alias("at"))

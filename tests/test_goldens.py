@@ -261,3 +261,17 @@ def test_dump(load, spark, tmp_path):
     assert again.same_as(onto) and sets(rows) == sets(cohort(spark)) and sets(more, "term", "item") == {"Child2": ["x", "y"]}
     assert {r.term for r in again.obsoletes.collect()} == {"Child1", "Child5"}
     assert json.loads(next((tmp_path / "d").glob("part-*")).read_text())["terms"]["Parental"] == {"id": "Parental", "name": "All", "comment": "none"}
+
+
+def test_ways_of_more_than_a_hundred_nodes(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(104)], "child string, parent string").coalesce(1).cache()
+    ways = graph.root_paths(spark.createDataFrame([("n0",)], "term string").coalesce(1), edges).collect()
+    assert [list(r.path) for r in ways] == [[f"n{i}" for i in range(105)]]
+
+
+def test_long_chains_of_alternatives(spark):
+    terms = spark.createDataFrame([("t", "t", 0)], "term string, name string, ord int")
+    edges = spark.createDataFrame([], "child string, parent string, pos int")
+    chain = [(f"a{i}", f"a{i + 1}") for i in range(299)] + [("a299", "t"), ("x", "y"), ("y", "z"), ("z", "x")]
+    onto = Ontology(terms, edges, alternatives=spark.createDataFrame(chain, "alt string, main string"))
+    assert {tuple(r) for r in onto.resolver.collect()} == {(f"a{i}", "t") for i in range(300)} | {("t", "t")}
