@@ -5,9 +5,9 @@ as Parquet and read again as the next one's docs.  All but the last return the
 columns of documents.
 
 Defined cases: rows with a null or letterless text are rejected by the first
-stage; among rows of one doc_id that reach the second stage one stays; rows
-whose doc_id is null are no near copies of anything; a text from which passages
-are cut has its n_chars counted anew; empty tables pass through.
+stage; the second stage compares all rows, whatever their doc_id, even a null
+one, and of rows with one doc_id and one text the least stays; a text from which
+passages are cut has its n_chars counted anew; empty tables pass through.
 """
 
 from __future__ import annotations
@@ -29,17 +29,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: similarity 0.8 on shingles of five words."""
-    classes = near_duplicates(docs, shingle_words=5, percent=80)
-    dropped = cut(classes.where(~F.col("kept")).select("doc_id").distinct())
-    again = cut(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One document of each class of near copies, the one with the smallest doc_id: similarity 0.8 on shingles of five words.
+
+    Rows go by a 64-bit hash of doc_id and text, as several texts may have one doc_id, or none.
+    """
+    keyed = docs.withColumn("near_key_", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
+    classes = cut(near_duplicates(keyed.select(F.col("near_key_").alias("doc_id"), "text"), shingle_words=5, percent=80).select(F.col("doc_id").alias("near_key_"), "component_id", "kept"))
+    several = classes.where(~F.col("kept")).select("component_id").distinct()
+    members = classes.join(several, "component_id", "left_semi").select("near_key_", "component_id").distinct()
+    ids = keyed.select("near_key_", "doc_id").distinct()
+    least = members.join(ids, "near_key_").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_key_")).alias("best")).select("component_id", F.col("best.near_key_").alias("stays"))
+    dropped = cut(members.join(least, "component_id").where("near_key_ <> stays").select("near_key_"))
+    again = cut(classes.groupBy("near_key_").count().where("count > 1").select("near_key_"))
     light = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    kept = docs.join(light(dropped), "doc_id", "left_anti")
+    kept = keyed.join(light(dropped), "near_key_", "left_anti")
     if again.isEmpty():
         return kept.select(*docs.columns)
-    # an id on several rows: one of them stays
-    lone = kept.join(light(again), "doc_id", "left_anti")
-    return lone.select(*docs.columns).union(kept.join(light(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    # one doc_id and one text on several rows: one of them stays
+    lone = kept.join(light(again), "near_key_", "left_anti")
+    one = kept.join(light(again), "near_key_", "left_semi").groupBy("near_key_").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return lone.select(*docs.columns).union(one.select("row.*"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -338,3 +338,24 @@ def test_pipeline_stages(spark, docs, empty, tmp_path):
             assert current.count() <= before.count()
         packed = corpus_pipeline.STAGES[-1][1](spark, current, str(tmp_path))
         assert packed.where("piece = 0").count() == current.count()
+
+
+def test_near_copy_stage(spark, docs, rows):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    long, lost = " ".join(word() for _ in range(90)), " ".join(word() for _ in range(80))
+    extra = [(500, long), (500, lost), (None, long + " end"), (None, lost), (None, lost), (None, word() + " alone"), (501, "other text here " + word()), (501, "nothing alike in it " + word())]
+    table = docs.union(spark.createDataFrame([(i, t, "en", "s", len(t), 5, "x", 1, "y", "z", 9) for i, t in extra], docs.schema))
+    known = sorted({(i is None, i or 0, t or "") for i, t in rows + extra})
+    group = {k: k for k in known}
+    find = lambda k: k if group[k] == k else find(group[k])
+    sets = {k: shingles(k[2], 5) for k in known}
+    for a in known:
+        for b in known:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = sorted((find(a), find(b)))
+                group[q] = p
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_copy_stage(spark, table, "").collect())
+    assert got == sorted(k for k in known if find(k) == k)
