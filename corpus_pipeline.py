@@ -73,5 +73,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The stages' models and hashes have no SQL form; tests hold the rows against a brute-force version.
+#: The stages' models and hashes have no SQL form; tests hold near_copies against brute force, of the other stages columns and falling counts only.
 ORACLE_SQL = None
