@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import sys
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -42,23 +43,68 @@ TABLE = 1_200_000
 MARKS = b".,;:!?"
 
 
+#: Words that are given to the tokenizer as one text.
+TOGETHER = 200
+
+
 class WordEncoder:
     """Ids of whole texts, as little-endian 32-bit bytes, by a tokenizer that drops white space.
 
     Such a tokenizer never joins characters across ASCII white space, so each word
     between white space is encoded once and remembered.  It must also lower-case, and
-    match marks apart from letters and digits, as the one for word ends does.
+    match marks apart from letters and digits, as the one for word ends does.  Words of
+    letters alone are normalised here and encoded many at a time by its model, without
+    its patterns; each ends with its only token that has the mark of a word's end, and
+    where the numbers differ the words are encoded singly.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.ascii, self.letters = (Tokenizer.from_file(path) for _ in range(3))
+        blanks, as_bytes = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ascii.normalizer = self.letters.normalizer = normalizers.Sequence([])
+        self.ascii.pre_tokenizer = blanks  # ASCII letters stand for themselves as bytes
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([blanks, as_bytes])
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("ids are packed as native 32-bit little-endian words")
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.table: dict[bytes, bytes] = {}
 
+    def _learn(self, wanted: list[bytes]) -> None:
+        """Put the words in the table."""
+        single: list[bytes] = []
+        plain: list[tuple[bytes, str]] = []
+        other: list[tuple[bytes, str]] = []
+        for word in wanted:
+            text = word.decode("utf-8")
+            if text.isascii():
+                plain.append((word, text.lower())) if text.isalpha() else single.append(word)
+            else:
+                small = unicodedata.normalize("NFC", text).lower()
+                # a capital sigma is lower-cased by its place
+                other.append((word, small)) if text.isalpha() and small.isalpha() and "\u03a3" not in text else single.append(word)
+        for tokenizer, words in ((self.ascii, plain), (self.letters, other)):
+            groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)] if self.closes.any() else []
+            single += [] if groups else [x for x, _ in words]
+            for group, made in zip(groups, tokenizer.encode_batch_fast([" ".join([y for _, y in x]) for x in groups], add_special_tokens=False), strict=True):
+                ids = np.array(made.ids, "<u4")
+                stops = np.flatnonzero(self.closes[ids]) + 1
+                if len(stops) != len(group) or stops[-1] != len(ids):
+                    single += [x for x, _ in group]
+                    continue
+                blob, a = ids.tobytes(), 0
+                for (word, _), b in zip(group, (4 * stops).tolist(), strict=True):
+                    self.table[word] = blob[a:b]
+                    a = b
+        for word, made in zip(single, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in single], add_special_tokens=False), strict=True):
+            self.table[word] = array("I", made.ids).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
         table = self.table
@@ -66,16 +112,13 @@ class WordEncoder:
             table.clear()
         new = set().union(*split).difference(table)
         # a word's closing marks are matched apart from a letter or digit before them, and case does not count
-        parts = {}
+        parts = []
         for word in new:
             small = word.lower()
             stem = small.rstrip(MARKS)
-            parts[word] = (stem, small[len(stem) :]) if stem and stem[-1:].isalnum() else (small, b"")
-        wanted = {part for pair in parts.values() for part in pair if part and part not in table}
-        wanted = list(wanted)
-        for word, made in zip(wanted, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in wanted], add_special_tokens=False), strict=True):
-            table[word] = array("I", made.ids).tobytes()
-        for word, (stem, marks) in parts.items():
+            parts.append((word, stem, small[len(stem) :]) if stem and stem[-1:].isalnum() else (word, small, b""))
+        self._learn([x for x in {x for _, stem, marks in parts for x in (stem, marks)} if x and x not in table])
+        for word, stem, marks in parts:
             table[word] = table[stem] + table[marks] if marks else table[stem]
         return [b"".join(map(table.__getitem__, ws)) for ws in split]
 
