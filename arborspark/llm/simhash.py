@@ -3,8 +3,8 @@
 The terms of a text are its words, lower-cased, each with the word that follows;
 a term weighs as often as it occurs.  Each occurrence votes with the 128 bits of
 its hash: a set bit for, a clear bit against.  A fingerprint has the bits that
-won.  Votes are counted by sums of masked shifts, two 32-bit counters in a long,
-so the aggregation stays in generated code.  Likeness of two fingerprints is the
+won.  Votes are counted by sums of masked shifts, several counters in a long, so
+the aggregation stays in generated code.  Likeness of two fingerprints is the
 share of equal bits.
 
 Pairs of fingerprints within a small Hamming radius are found in permuted block
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from .ranges import sampled_ranges
 from .shared import cut, documents
 
-_PAIR = 0x0000000100000001
 _HALVES = ("hi", "lo")
 
 #: Bits of 128 within which fingerprints are near: texts of a five-word similarity of 0.8 seldom lie farther apart.
@@ -44,24 +43,37 @@ RADIUS = 19
 CELL_ROWS = 1 << 14
 
 
-def term_hashes(text: Column) -> Column:
-    """An array of the hashes of all terms of a text, in order, with repeats."""
-    names = F.transform(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return F.zip_with(names, F.slice(names, 2, F.greatest(F.size(names), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+#: White space of ASCII, and how many terms are counted in counters of a byte: the greatest counter keeps its sign.
+BLANKS = " \t\n\x0b\f\r"
+CHUNK = 127
+_BYTES = 0x0101010101010101
+_BYTE_PAIR = 0x000000FF000000FF
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, hi, lo: the fingerprint of each row that has terms, as two longs; keys are unique."""
-    terms = texts.select(*keys, F.explode(term_hashes(F.col(text))).alias("lo_")).withColumn("hi_", F.xxhash64("lo_"))
-    sums = [F.sum(F.shiftrightunsigned(f"{half}_", j).bitwiseAND(F.lit(_PAIR))).alias(f"{half}{j}_") for half in _HALVES for j in range(32)]
-    votes = terms.groupBy(*keys).agg(F.count("*").alias("n_"), *sums)
+    """keys, hi, lo: the fingerprint of each row, as two longs, zero without terms; keys are unique.
+
+    Votes are counted twice: chunks of a text's terms in counters of a byte, eight
+    in a long, then the chunks' sums in counters of 32 bits.
+    """
+    bare = F.btrim(F.lower(F.col(text)), F.lit(BLANKS))
+    names = F.when(bare != "", F.transform(F.split(bare, r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w)))
+    each = texts.select(*keys, names.alias("names_")).select(*keys, "names_", F.posexplode_outer("names_").alias("p_", "w_"))
+    # a text without words has one row here, which votes for nothing
+    term = F.when(F.col("w_").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("w_", F.get("names_", F.col("p_") + 1)))
+    terms = each.select(*keys, F.floor(F.coalesce("p_", F.lit(0)) / CHUNK).alias("chunk_"), F.col("w_").isNotNull().cast("long").alias("some_"), term.alias("lo_"))
+    terms = terms.withColumn("hi_", F.when(F.col("some_") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("lo_")))
+    counters = [F.sum(F.shiftrightunsigned(f"{half}_", j).bitwiseAND(F.lit(_BYTES))).alias(f"{half}{j}_") for half in _HALVES for j in range(8)]
+    chunks = terms.groupBy(*keys, "chunk_").agg(F.sum("some_").alias("n_"), *counters)
+    sums = [F.sum(F.shiftrightunsigned(f"{half}{j}_", 8 * m).bitwiseAND(F.lit(_BYTE_PAIR))).alias(f"{half}{j}_{m}_") for half in _HALVES for j in range(8) for m in range(4)]
+    votes = chunks.groupBy(*keys).agg(F.sum("n_").alias("n_"), *sums)
 
     def bits(half: str) -> Column:
         won = []
-        for j in range(32):
-            for place in (j, j + 32):
-                count = F.shiftrightunsigned(f"{half}{j}_", place - j).bitwiseAND(F.lit(0xFFFFFFFF))
-                won.append(F.when(2 * count > F.col("n_"), F.lit((1 << place) - (1 << 64 if place == 63 else 0))).otherwise(F.lit(0)))
+        for place in range(64):
+            lane, j = divmod(place, 8)
+            count = F.shiftrightunsigned(f"{half}{j}_{lane % 4}_", 32 * (lane // 4)).bitwiseAND(F.lit(0xFFFFFFFF))
+            won.append(F.when(2 * count > F.col("n_"), F.lit((1 << place) - (1 << 64 if place == 63 else 0))).otherwise(F.lit(0)))
         while len(won) > 1:
             won = [won[i].bitwiseOR(won[i + 1]) for i in range(0, len(won), 2)]
         return won[0].cast("long")
@@ -163,27 +175,30 @@ def edited_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({
         "a_": F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)), "b_": F.xxhash64("text")})
-    ranges = sampled_ranges(cut(rows.select("a_", "b_", F.length("text").cast("long").alias("w_")).withColumn("w_", F.col("w_") + 1)), "a_", "b_", "w_")
+    light = cut(rows.select("a_", "b_", (F.length("text").cast("long") + 1).alias("w_")))
+    ranges = sampled_ranges(light, "a_", "b_", "w_")
     if not sum(ranges.rows):
         ranges.rows = [1]
     order = Window.partitionBy("r_").orderBy("a_", "b_")
     ranged = rows.withColumn("r_", ranges.of("a_", "b_")).withColumns({"i_": F.row_number().over(order), "next_": F.lead("text").over(order)})
-    # the first text of each range follows the last one of the range before
+    # the first text of each range follows the last one of the range before; its key is found without texts
     before = {y: x for x, y in enumerate(ranges.following()) if y >= 0}
     prior = F.array(*(F.lit(before.get(i, -1)) for i in range(len(ranges.rows))))
-    firsts = ranged.where("i_ = 1").select(F.element_at(prior, F.col("r_") + 1).alias("r_"), F.col("text").alias("wrap_"))
+    heads = cut(light.groupBy(ranges.of("a_", "b_").alias("r_")).agg(F.min(F.struct("a_", "b_")).alias("k_")).select("r_", "k_.a_", "k_.b_"))
+    firsts = rows.join(F.broadcast(heads), ["a_", "b_"]).dropDuplicates(["r_"]).select(F.element_at(prior, F.col("r_") + 1).alias("r_"), F.col("text").alias("wrap_"))
     paired = ranged.join(firsts, "r_", "left").withColumn("next_", F.coalesce("next_", "wrap_"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_", F.lit(1), half))
-    paired = paired.select("r_", "i_", "doc_id", "text", edited.alias("edited"))
-    meta = paired.select("r_", "i_", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    # doc_id goes along only so that this branch reads the same shuffled texts as meta
-    both = paired.select("r_", "i_", "doc_id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x")).select("r_", "i_", "doc_id", "x.kind", "x.t")
-    made = fingerprints(both, ["r_", "i_", "doc_id", "kind"], "t")
-    own = made.where("kind = 0").select("r_", "i_", "hi", "lo")
-    other = made.where("kind = 1").select("r_", "i_", F.col("hi").alias("e_hi"), F.col("lo").alias("e_lo"))
-    table = cut(meta.join(own, ["r_", "i_"], "left").join(other, ["r_", "i_"], "left").fillna(0, ["hi", "lo", "e_hi", "e_lo"]))
+    paired = paired.select("r_", "i_", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    paired = paired.withColumn("edited_sha256", F.sha2("edited", 256))
+    keys = ["r_", "i_", "doc_id", "n_chars", "edited_sha256"]
+    own = F.struct(F.lit(0).alias("kind"), F.col("text").alias("t"))
+    other = F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))
+    both = paired.select(*keys, F.explode(F.array(own, other)).alias("x")).select(*keys, "x.kind", "x.t")
+    made = fingerprints(both, [*keys, "kind"], "t")
+    of_kind = lambda kind, half: F.max(F.when(F.col("kind") == kind, F.col(half)))
+    table = cut(made.groupBy(*keys).agg(of_kind(0, "hi").alias("hi"), of_kind(0, "lo").alias("lo"), of_kind(1, "hi").alias("e_hi"), of_kind(1, "lo").alias("e_lo")))
     pair = F.struct("hi", "lo")
     chained = table.withColumn("next_", F.lead(pair).over(Window.partitionBy("r_").orderBy("i_")))
     starts = table.where("i_ = 1").select(F.element_at(prior, F.col("r_") + 1).alias("r_"), pair.alias("wrap_"))
