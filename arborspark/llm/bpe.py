@@ -29,7 +29,6 @@ import gc
 import hashlib
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -37,7 +36,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import column_of, documents, over_texts
+from .shared import column_of, documents, kept, over_texts
 
 #: The characters that the split pattern's \s stands for: Unicode's White_Space property (fixed values).
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -340,10 +339,9 @@ class TextCodec:
         return self.bytes[np.repeat(self.at[ids] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> TextCodec:
     """One per worker process."""
-    return TextCodec(read_ranks(path), pattern)
+    return kept(("bpe", path, pattern), lambda: TextCodec(read_ranks(path), pattern))
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -361,7 +359,7 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         back = [hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(np.concatenate([[0], stop[:-1]]), stop, strict=True)]
         return pa.record_batch([column_of(batch, "doc_id"), pa.array(count), pa.array(digests, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return over_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return over_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True)
 
 
 def bpe_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -372,7 +370,7 @@ def bpe_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         ids = [np.frombuffer(x, np.int32) for x, _ in own.encode_all([text or "" for text in column_of(batch, "text").to_pylist()])]
         return pa.record_batch([column_of(batch, "doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return over_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>")
+    return over_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>", keeps=True)
 
 
 def bpe_texts(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -28,14 +28,13 @@ import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import column_of, cut, documents, over_texts
+from .shared import column_of, cut, documents, kept, over_texts
 
 #: Words that a worker's table of encoded words may hold before it is emptied.
 TABLE = 1_200_000
@@ -123,9 +122,9 @@ class WordEncoder:
         return [b"".join(map(table.__getitem__, ws)) for ws in split]
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    """One per worker process."""
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 def token_pieces(docs: DataFrame, path: str, limit: int, close_id: int) -> DataFrame:
@@ -147,7 +146,7 @@ def token_pieces(docs: DataFrame, path: str, limit: int, close_id: int) -> DataF
             names=["doc_id", "piece", "start", "length", "ids_crc32"],
         )
 
-    return over_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return over_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long", keeps=True)
 
 
 def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -1,17 +1,24 @@
 """Which windows of a document also occur in a document of a smaller id: exact, over the whole corpus.
 
 1. Each document's windows are grouped to runs under anchors (:mod:`.anchors`).
-   A run is sent as a few packed bytes: anchor key, hash of the run's span, place.
-   Runs of one slice that repeat are settled there, so a passage that a third
-   of all documents hold arrives once or twice per slice.
-2. Packed runs meet by key.  A run whose span also stands in a smaller document is
+   A run whose span a smaller document of the same slice has is settled there.  Of
+   the others a few packed bytes are sent: anchor key, hash of the run's span, place.
+2. Sent runs meet by key.  A run whose span also stands in a smaller document is
    repeated with all its windows.  What else has a key in common with another
    document is to be checked window by window; a run without such a key is new.
-3. The windows of runs to be checked are named one by one and meet by key again.
+3. The windows of runs to be checked are named one by one and meet by name.
    Only first occurrences and the edges of repeats come so far: runs settled in
    step 2 need no check, as the smallest document with a window is never settled
    for it.
 
+Common passages.  A task remembers the spans that its slices repeat and the keys
+that it found crowded, so what a third of all documents hold is sent a few times
+by a task, not by a document: repeats of a remembered span are settled at once, and
+runs of a crowded key are to be checked without being sent, once a run of that key
+has been sent with a mark that its key is crowded.  What a slice has settled or
+found to check itself takes another way through the shuffle, dealt by slices, where
+no key gathers anything.  Windows to be checked are dealt by their own names.
+
 Keys, spans and windows are compared by at least 112 bits of hash (bucket, key and
 span, or key and window).  Packed rows are dealt to buckets of a bounded size by
 their key; a bucket is sorted in memory.
@@ -23,15 +30,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import WINDOW, byte_runs, window_names, word_runs
-from .shared import _BYTE_NAMES, column_of, over_texts, rolling, span_hash, stored, word_names
+from .shared import _BYTE_NAMES, column_of, over_texts, release, rolling, span_hash, stored, word_names
 
 #: Bytes of text whose runs go to one bucket.
 BUCKET_BYTES = 10_000_000
-#: Stands for a null doc_id: later than every other.
+#: Runs of one key that a slice sends at most, and spans and keys that a task remembers; beyond these the oldest are forgotten and sent again.
+CROWD, REMEMBERED = 2, 1 << 16
+#: Stands for a null doc_id: none is later.
 LAST = (1 << 63) - 1
 
 
@@ -58,11 +67,10 @@ def _unplaned(blob: bytes, n: int, kept: int) -> np.ndarray:
 _WIDTHS = {"key": 7, "hash": 7, "doc": 4, "first": 4, "size": 1}
 
 
-def packed(key: np.ndarray, hashes: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, settled: np.ndarray, ids: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+def packed(bucket: np.ndarray, key: np.ndarray, hashes: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, marked: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     """One row for each bucket that some of the runs belong to: bucket, number, body, and the documents' ids and row hashes."""
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((first, doc, bucket))
-    key, hashes, doc, first, size, bucket = (x[order] for x in (key, hashes, doc, first, size | np.where(settled, 128, 0), bucket))
+    key, hashes, doc, first, size, bucket = (x[order] for x in (key, hashes, doc, first, size | np.where(marked, 128, 0), bucket))
     begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     end = np.append(begin[1:], len(bucket))
     out = []
@@ -74,11 +82,17 @@ def packed(key: np.ndarray, hashes: np.ndarray, doc: np.ndarray, first: np.ndarr
     return pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["bucket", "n", "body", "ids", "rows"])
 
 
+def _bucket(key: np.ndarray, aside: np.ndarray, rows: np.ndarray, buckets: int) -> np.ndarray:
+    """A key's bucket; what has been decided in the slice goes aside, to one below 0 that the slice's rows choose."""
+    own = int(rows.view(np.uint64).sum() % np.uint64(buckets)) if len(rows) else 0
+    return np.where(aside, -1 - own, (key % np.uint64(buckets)).astype(np.int64))
+
+
 PACKED = "bucket int, n long, body binary, ids binary, rows binary"
 
 
 def unpacked(table: pa.Table) -> dict[str, np.ndarray]:
-    """key, hash, id, row, first, size and settled of all runs of a bucket."""
+    """key, hash, id, row, first, size and marked of all runs of a bucket."""
     parts: dict[str, list[np.ndarray]] = {k: [] for k in ("key", "hash", "id", "row", "first", "size")}
     for n, body, ids, rows in zip(*(table.column(c).to_pylist() for c in ("n", "body", "ids", "rows")), strict=True):
         at = 0
@@ -91,7 +105,7 @@ def unpacked(table: pa.Table) -> dict[str, np.ndarray]:
             else:
                 parts[name].append(x)
     out = {k: np.concatenate(v) for k, v in parts.items()}
-    out["settled"] = out["size"] >= 128
+    out["marked"] = out["size"] >= 128
     out["size"] &= np.uint64(127)
     return out
 
@@ -105,7 +119,45 @@ def _first_of(key: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.
     return order, new, ids[order][new][np.cumsum(new) - 1] if len(k) else ids
 
 
+class _Memory:
+    """Spans that a task has sent, with the least id it sent or settled, and keys that it has marked as crowded."""
+
+    def __init__(self):
+        self.name, self.key, self.span = (np.zeros(0, np.uint64) for _ in range(3))
+        self.least = np.zeros(0, np.int64)
+        self.crowded = np.zeros(0, np.uint64)
+
+    def lowest(self, key: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """The least id remembered for each (key, span), else the greatest number."""
+        if not len(self.name):
+            return np.full(len(key), LAST)
+        name = key ^ span
+        at = np.searchsorted(self.name, name)
+        at[at == len(self.name)] = 0
+        return np.where((self.key[at] == key) & (self.span[at] == span), self.least[at], LAST)
+
+    def note(self, key: np.ndarray, span: np.ndarray, least: np.ndarray) -> None:
+        """Remember spans; of a span that is known the lesser id stays."""
+        key, span, least = np.concatenate([key, self.key]), np.concatenate([span, self.span]), np.concatenate([least, self.least])
+        if len(key) > REMEMBERED:
+            key, span, least = key[:REMEMBERED], span[:REMEMBERED], least[:REMEMBERED]
+        order = np.lexsort((least, key ^ span))
+        name = (key ^ span)[order]
+        new = np.ones(len(name), bool)
+        new[1:] = name[1:] != name[:-1]
+        self.name, self.key, self.span, self.least = name[new], key[order][new], span[order][new], least[order][new]
+
+    def mark(self, keys: np.ndarray) -> None:
+        kept = np.concatenate([np.unique(keys), self.crowded])[:REMEMBERED]
+        self.crowded = np.unique(kept)
+
+    def is_crowded(self, key: np.ndarray) -> np.ndarray:
+        return np.isin(key, self.crowded)
+
+
 def _runs_of(kind: str, buckets: int):
+    memory = _Memory()  # every task has its own
+
     def run(batch: pa.RecordBatch, raw: np.ndarray, at: np.ndarray) -> pa.RecordBatch | None:
         names, of = tokens_of(kind, raw, at)
         key, first, last = byte_runs(raw, of) if kind == "bytes" else word_runs(names, of)
@@ -114,10 +166,31 @@ def _runs_of(kind: str, buckets: int):
         span = span_hash(rolling(names), first, last + WINDOW)
         doc = np.searchsorted(of, first, "right") - 1
         ids = column_of(batch, "doc_id").to_numpy(zero_copy_only=False)
-        order, _, least = _first_of(key, span, ids[doc])
-        settled = np.zeros(len(key), bool)
-        settled[order] = ids[doc][order] > least
-        return packed(key, span, doc, first - of[doc], last - first + 1, settled, ids, column_of(batch, "row").to_numpy(zero_copy_only=False), buckets)
+        rows = column_of(batch, "row").to_numpy(zero_copy_only=False)
+        # all in the order of (key, span, id) from here on
+        order, new, least = _first_of(key, span, ids[doc])
+        key, span, doc, first, last = key[order], span[order], doc[order], first[order], last[order]
+        least = np.minimum(least, memory.lowest(key, span))
+        settled = ids[doc] > least
+        group = np.cumsum(new) - 1
+        common = (np.bincount(group) > 1)[group]
+        # of each key: how many of its runs are still to be sent
+        head = np.ones(len(key), bool)
+        head[1:] = key[1:] != key[:-1]
+        of_key = np.cumsum(head) - 1
+        marked = memory.is_crowded(key)
+        crowded = marked | (np.bincount(of_key, weights=~settled) > CROWD)[of_key]
+        # the first run of a key that is crowded for the first time is sent with the mark
+        candidate = np.flatnonzero(crowded & ~marked & ~settled)
+        _, lead = np.unique(of_key[candidate], return_index=True)
+        mark = np.zeros(len(key), bool)
+        mark[candidate[lead]] = True
+        check = crowded & ~settled & ~common & ~mark
+        memory.mark(key[mark])
+        noted = common & new
+        memory.note(key[noted], span[noted], least[noted])
+        aside = settled | check
+        return packed(_bucket(key, aside, rows, buckets), key, span, doc, first - of[doc], last - first + 1, np.where(aside, check, mark), ids, rows)
 
     return run
 
@@ -125,21 +198,27 @@ def _runs_of(kind: str, buckets: int):
 def _meet(table: pa.Table) -> pa.Table:
     """Of a bucket's runs: those repeated (state 0) and those to be checked (state 1)."""
     x = unpacked(table)
+    if table.column("bucket")[0].as_py() < 0:
+        settled = {k: v[~x["marked"]] for k, v in x.items()}
+        out = pa.concat_tables([_joined(settled), _ranges(x, x["marked"], np.ones(len(x["key"]), np.int8))])
+        release()
+        return out
     order, new, least = _first_of(x["key"], x["hash"], x["id"])
     repeated = np.empty(len(order), bool)
     repeated[order] = x["id"][order] > least
-    # keys under which runs that are not repeated come from two documents or more
+    # keys under which runs that are not repeated come from two documents or more, or that a slice has marked
     k, i = x["key"][order], x["id"][order]
     mine = i == least
     begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     lowest = np.minimum.reduceat(np.where(mine, i, LAST), begin)
     highest = np.maximum.reduceat(np.where(mine, i, -(1 << 63)), begin)
-    mixed = np.repeat(lowest < highest, np.diff(np.append(begin, len(k))))
+    crowded = np.logical_or.reduceat(x["marked"][order], begin)
+    mixed = np.repeat((lowest < highest) | crowded, np.diff(np.append(begin, len(k))))
     check = np.zeros(len(order), bool)
     check[order] = mixed & mine
-    state = np.where(repeated | x["settled"], 0, 1)
-    keep = repeated | x["settled"] | check
-    return _ranges(x, keep, state)
+    out = _ranges(x, repeated | check, np.where(repeated, 0, 1))
+    release()
+    return out
 
 
 def _ranges(x: dict[str, np.ndarray], keep: np.ndarray, state: np.ndarray) -> pa.Table:
@@ -165,10 +244,11 @@ def _windows_of(kind: str, buckets: int):
         place = start + of[doc]
         name = window_names(raw)[place] if kind == "bytes" else span_hash(rolling(names), place, place + WINDOW)
         ids = column_of(batch, "doc_id").to_numpy(zero_copy_only=False)
-        order, _, least = _first_of(key, name, ids[doc])
+        rows = column_of(batch, "row").to_numpy(zero_copy_only=False)
+        order, _, least = _first_of(name, key, ids[doc])
         settled = np.zeros(len(key), bool)
         settled[order] = ids[doc][order] > least
-        return packed(key, name, doc, start, np.ones(len(key), np.int64), settled, ids, column_of(batch, "row").to_numpy(zero_copy_only=False), buckets)
+        return packed(_bucket(name, settled, rows, buckets), name, key, doc, start, np.ones(len(key), np.int64), np.zeros(len(key), bool), ids, rows)
 
     return run
 
@@ -176,35 +256,53 @@ def _windows_of(kind: str, buckets: int):
 def _decide(table: pa.Table) -> pa.Table:
     """Of a bucket's windows, the repeated ones, neighbours joined."""
     x = unpacked(table)
-    order, _, least = _first_of(x["key"], x["hash"], x["id"])
-    repeated = np.empty(len(order), bool)
-    repeated[order] = x["id"][order] > least
-    x = {k: v[repeated | x["settled"]] for k, v in x.items()}
+    if table.column("bucket")[0].as_py() >= 0:
+        order, _, least = _first_of(x["key"], x["hash"], x["id"])
+        repeated = np.empty(len(order), bool)
+        repeated[order] = x["id"][order] > least
+        x = {k: v[repeated] for k, v in x.items()}
+    out = _joined(x)
+    release()
+    return out
+
+
+def _joined(x: dict[str, np.ndarray]) -> pa.Table:
+    """Repeated runs, those that touch or overlap as one."""
     order = np.lexsort((x["first"], x["row"], x["id"]))
     x = {k: v[order] for k, v in x.items()}
     n = len(order)
-    new = np.ones(n, bool)
-    new[1:] = (x["id"][1:] != x["id"][:-1]) | (x["row"][1:] != x["row"][:-1]) | (x["first"][1:] > x["first"][:-1] + np.uint64(1))
+    if not n:
+        return _ranges(x, np.zeros(0, bool), np.zeros(0, np.int8))
+    stop = x["first"] + x["size"]
+    same = np.zeros(n, bool)
+    same[1:] = (x["id"][1:] == x["id"][:-1]) & (x["row"][1:] == x["row"][:-1])
+    # the furthest stop so far within a document; documents are set apart by a step of their own
+    far = np.cumsum(~same).astype(np.uint64) << np.uint64(33)
+    reach = np.maximum.accumulate(far + stop)
+    new = ~same
+    new[1:] |= (far + x["first"])[1:] > reach[:-1]
     begin = np.flatnonzero(new)
-    if n:
-        final = np.append(begin[1:], n) - 1
-        size = x["first"][final] - x["first"][begin] + np.uint64(1)
-        x = {k: v[begin] for k, v in x.items()} | {"size": size}
-    return _ranges(x, np.ones(len(begin), bool), np.zeros(len(begin), np.int64))
+    final = np.append(begin[1:], n) - 1
+    size = reach[final] - far[final] - x["first"][begin]
+    x = {k: v[begin] for k, v in x.items()} | {"size": size}
+    return _ranges(x, np.ones(len(begin), bool), np.zeros(len(begin), np.int8))
 
 
 def repeated_windows(docs: DataFrame, kind: str) -> DataFrame:
     """doc_id, row, runs (array of struct<first, size>): the repeated windows of each document that has some.
 
     docs: doc_id (long, not null), row (long, tells rows of one doc_id apart), text;
-    kind: "bytes" or "words", the tokens of which a window has WINDOW.
+    kind: "bytes" or "words", the tokens of which a window has WINDOW.  A partition of docs
+    must give its rows in the same order if it is computed again, as those of tables do:
+    what is sent depends on the slices.
     """
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, -(-volume // BUCKET_BYTES))
     runs = over_texts(docs, _runs_of(kind, buckets), PACKED)
     ranges = stored(runs.groupBy("bucket").applyInArrow(_meet, RANGES))
     checks = ranges.where("state = 1").groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "size", "key")).alias("checks"))
-    texts = matched(docs, stored(checks))
+    # in an order that a task that is run again meets as well
+    texts = matched(docs, stored(checks)).sortWithinPartitions("doc_id", "row")
     windows = over_texts(texts, _windows_of(kind, buckets), PACKED)
     decided = windows.groupBy("bucket").applyInArrow(_decide, RANGES)
     return ranges.where("state = 0").union(decided).groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "size")).alias("runs"))
@@ -234,7 +332,7 @@ def with_runs(docs: DataFrame, kind: str) -> DataFrame:
     return matched(docs, found, lambda others: others.withColumn("runs", F.lit(None).cast(found.schema["runs"].dataType)))
 
 
-def keyed(docs: DataFrame, *others: str) -> DataFrame:
+def keyed(docs: DataFrame, *others: str | Column) -> DataFrame:
     """doc_id, row, text with the defined stand-ins for nulls, and other columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"), *others)

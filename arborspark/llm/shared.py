@@ -8,7 +8,7 @@ is an empty one there.
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,14 +27,14 @@ MIX_B = np.uint64(0x94D049BB133111EB)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, or the one that was set for checkpoints; there must be one that all executors share."""
     place = spark.conf.get("spark.checkpoint.dir", None)
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
     if place is None:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if given.isDefined():
-            return given.get()
-        place = tempfile.mkdtemp(prefix="checkpoints-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not given.isDefined():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return given.get()
+    if not given.isDefined():
         spark.sparkContext.setCheckpointDir(place)
     return place
 
@@ -81,7 +81,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of a batch whose texts together stay below the limit, or one longer row."""
     names = batch.schema.names
     _, at = texts_of(batch.column(names.index(column)))
@@ -92,16 +92,45 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         start = stop
 
 
-def over_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
-    """fn(slice, raw bytes, offsets) over all rows; its record batches are the result."""
+#: What this worker process keeps between tasks: the tables of one operator at most.
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]):
+    """The object of this key, made once per worker process; objects of other keys are dropped, as workers serve one operator after the other."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Give freed memory back to the system, for the executor's other processes."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def over_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch | None], schema: str, column: str = "text", keeps: bool = False) -> DataFrame:
+    """fn(slice, raw bytes, offsets) over all rows; its record batches are the result.
+
+    Each task gets an fn of its own, which may so remember what it has seen.  keeps: fn uses :func:`kept`.
+    """
+
+    limit = SLICE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _kept.clear()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 raw, at = texts_of(part.column(part.schema.names.index(column)))
                 made = fn(part, raw, at)
                 if made is not None and made.num_rows:
                     yield made
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -12,13 +12,15 @@ tables: of radius + 1 blocks at least one is equal in such a pair, so each block
 in turn leads a table that is joined on it; a pair counts in the first block that
 agrees, and is then verified on all bits.
 
-n_near counts rows within a wide radius, where radius + 1 blocks get too short.
-Of radius / 2 + 1 blocks one differs in at most one bit in such a pair, so of its
-four parts three are equal: each block gives four tables, joined on three of its
-parts.  All pairs are found; a pair counts in the first table that agrees.  Equal
-fingerprints are one row with a weight, and no pair is written: the join feeds
-sums.  The work grows with the square of the number of distinct fingerprints,
-about a twentieth of all pairs being looked at.
+near_class is the smallest doc_id that links between fingerprints within a wide
+radius reach, where radius + 1 blocks get too short.  Of radius / 2 + 1 blocks one
+differs in at most one bit in such a pair, so of its four parts three are equal:
+each block gives four tables, joined on three of its parts.  A pair counts in the
+first table that agrees.  Sorted rotations of the fingerprints link neighbours
+first; the tables then look for pairs of different classes only, so the pairs of a
+group of near copies are never written.  The work of comparing grows with the
+square of the number of distinct fingerprints, about a twentieth of all pairs
+being looked at.
 
 Defined cases: a null text is empty; a text without words has no votes and the
 fingerprint of all zeros; repeated rows are fingerprinted each; among equal
@@ -31,6 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .components import components
 from .ranges import sampled_ranges
 from .shared import cut, documents
 
@@ -121,56 +124,111 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """hi, lo, n_near of each distinct fingerprint: the other rows of prints (hi, lo) within the radius, those with the same fingerprint included."""
-    if not 1 <= radius <= 31:
-        raise ValueError("radius is 1 to 31")
-    each = (radius // 2 + 2) // 2  # blocks of a half; twice as many are radius // 2 + 1 at least
-    edges = [64 * k // (4 * each) for k in range(4 * each + 1)]
-    parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
-    blocks = [(half, parts[4 * i : 4 * i + 4]) for half in _HALVES for i in range(each)]
-    mask = lambda bits: F.lit(_signed(bits)).cast("long")
-
-    whole = prints.groupBy("hi", "lo").agg(F.count("*").alias("w")).select(*(F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("hi", "lo", "w")))
-    distinct = cut(whole)
-    values = [F.col(half).bitwiseAND(mask(sum(four) - left)) for half, four in blocks for left in four]
-    tables = distinct.select("hi", "lo", "w", F.posexplode(F.array(*values)).alias("table", "value"))
-    # a large group is dealt to chunks, and each two of these meet in a cell
-    large = cut(tables.groupBy("table", "value").count().where(F.col("count") > CELL_ROWS).select("table", "value", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("chunks")))
-    if large.isEmpty():
-        rows = tables.withColumns({"chunk": F.lit(0), "cell": F.lit(0).cast("long")})
-    else:
+class _Tables:
+    """The permuted tables of a wide radius, and what a pair found in them has to meet.
+
+    Of radius / 2 + 1 blocks one differs in at most one bit in a near pair, so of its
+    four parts three are equal: each block gives four tables.
+    """
+
+    def __init__(self, radius: int):
+        if not 1 <= radius <= 31:
+            raise ValueError("radius is 1 to 31")
+        self.radius = radius
+        each = (radius // 2 + 2) // 2  # blocks of a half; twice as many are radius // 2 + 1 at least
+        edges = [64 * k // (4 * each) for k in range(4 * each + 1)]
+        parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+        self.blocks = [(half, parts[4 * i : 4 * i + 4]) for half in _HALVES for i in range(each)]
+
+    @staticmethod
+    def _mask(bits: int) -> Column:
+        return F.lit(_signed(bits)).cast("long")
+
+    def dealt(self, distinct: DataFrame, *others: str) -> tuple[DataFrame, bool]:
+        """Rows of distinct (hi, lo) once for each table; a large group is dealt to chunks, and each two of these meet in a cell."""
+        values = [F.col(half).bitwiseAND(self._mask(sum(four) - left)) for half, four in self.blocks for left in four]
+        tables = distinct.select("hi", "lo", *others, F.posexplode(F.array(*values)).alias("table", "value"))
+        large = cut(tables.groupBy("table", "value").count().where(F.col("count") > CELL_ROWS).select("table", "value", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("chunks")))
+        if large.isEmpty():
+            return tables.withColumns({"chunk": F.lit(0), "cell": F.lit(0).cast("long")}), False
         # tables and values are few, so large is small however many rows there are
         rows = tables.join(F.broadcast(large), ["table", "value"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("hi", "lo"), F.col("chunks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = rows.withColumn("cell", F.least("chunk", "other").cast("long") * F.col("chunks") + F.greatest("chunk", "other")).withColumn("chunk", F.when(F.col("chunk") == F.col("other"), F.lit(-1)).otherwise(F.col("chunk"))).drop("other", "chunks")
-    side = lambda name: rows.select(F.col("table").alias(f"{name}table"), F.col("value").alias(f"{name}value"), F.col("cell").alias(f"{name}cell"), *(F.col(c).alias(f"{name}{c}") for c in ("hi", "lo", "w", "chunk")))
-    differ = lambda half, bits: F.col(f"a_{half}").bitwiseXOR(F.col(f"b_{half}")).bitwiseAND(mask(bits)) != 0
-    within = distance("a_", "b_") <= radius
-    unequal = (F.col("a_hi") != F.col("b_hi")) | (F.col("a_lo") != F.col("b_lo"))
-    cells = (F.col("a_chunk") != F.col("b_chunk")) | (F.col("a_chunk") == -1) if not large.isEmpty() else F.lit(True)
-    earlier, same = F.lit(False), F.lit(False)
-    for i, (half, four) in enumerate(blocks):
-        agrees = sum((differ(half, bits).cast("int") for bits in four[1:]), differ(half, four[0]).cast("int")) <= 1
-        earlier = earlier | (F.col("a_table") >= 4 * i + 4) & agrees
-        # four tables find a pair with an equal block: the first one counts it
-        same = same | F.col("a_table").between(4 * i + 1, 4 * i + 3) & ~differ(half, sum(four))
-    a, b = side("a_"), side("b_")
-    keys = (F.col("a_table") == F.col("b_table")) & (F.col("a_value") == F.col("b_value")) & (F.col("a_cell") == F.col("b_cell"))
-    found = a.join(b.hint("merge"), keys & within & unequal & cells & ~same & ~earlier)
+        cell = F.least("chunk", "other").cast("long") * F.col("chunks") + F.greatest("chunk", "other")
+        return rows.withColumn("cell", cell).withColumn("chunk", F.when(F.col("chunk") == F.col("other"), F.lit(-1)).otherwise(F.col("chunk"))).drop("other", "chunks"), True
+
+    def pairs(self, distinct: DataFrame, *others: str, more: Column | None = None) -> DataFrame:
+        """All ordered pairs of different rows within the radius that meet `more`, each once: columns of both with a_ and b_ before their names."""
+        rows, chunked = self.dealt(distinct, *others)
+        side = lambda name: rows.select(F.col("table").alias(f"{name}table"), F.col("value").alias(f"{name}value"), F.col("cell").alias(f"{name}cell"), *(F.col(c).alias(f"{name}{c}") for c in ("hi", "lo", "chunk", *others)))
+        differ = lambda half, bits: F.col(f"a_{half}").bitwiseXOR(F.col(f"b_{half}")).bitwiseAND(self._mask(bits)) != 0
+        within = distance("a_", "b_") <= self.radius
+        unequal = (F.col("a_hi") != F.col("b_hi")) | (F.col("a_lo") != F.col("b_lo"))
+        cells = (F.col("a_chunk") != F.col("b_chunk")) | (F.col("a_chunk") == -1) if chunked else F.lit(True)
+        earlier, same = F.lit(False), F.lit(False)
+        for i, (half, four) in enumerate(self.blocks):
+            agrees = sum((differ(half, bits).cast("int") for bits in four[1:]), differ(half, four[0]).cast("int")) <= 1
+            earlier = earlier | (F.col("a_table") >= 4 * i + 4) & agrees
+            # four tables find a pair with an equal block: the first one counts it
+            same = same | F.col("a_table").between(4 * i + 1, 4 * i + 3) & ~differ(half, sum(four))
+        keys = (F.col("a_table") == F.col("b_table")) & (F.col("a_value") == F.col("b_value")) & (F.col("a_cell") == F.col("b_cell"))
+        condition = keys & within & unequal & cells & ~same & ~earlier
+        return side("a_").join(side("b_").hint("merge"), condition if more is None else condition & more)
+
+
+def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """hi, lo, n_near of each distinct fingerprint: the other rows of prints (hi, lo) within the radius, those with the same fingerprint included."""
+    distinct = cut(prints.fillna(0, ["hi", "lo"]).groupBy("hi", "lo").agg(F.count("*").alias("w")))
+    found = _Tables(radius).pairs(distinct, "w")
     sums = found.groupBy(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).agg(F.sum("b_w").alias("n"))
     return distinct.join(sums, ["hi", "lo"], "left").select("hi", "lo", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_near"))
 
 
+#: Rotations whose sorted orders give the first links, and leading bits that share a window.
+ROTATIONS, LEADING = 16, 12
+
+
+def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """hi, lo, near_class of each distinct fingerprint of prints (hi, lo, doc_id).
+
+    Links join fingerprints within the radius; near_class is the smallest doc_id that
+    links reach (null only if there is none).  First, fingerprints are sorted by each of
+    some rotations of their bits, and neighbours that are near are linked, which ties a
+    group of many near copies together without its pairs.  The tables then give every
+    near pair that still lies in two classes, so no link between classes is lost.
+    """
+    whole = prints.fillna(0, ["hi", "lo"]).groupBy("hi", "lo").agg(F.min("doc_id").alias("least"))
+    distinct = cut(whole.withColumn("id", F.monotonically_increasing_id()))
+    turned = []
+    for i in range(ROTATIONS):
+        shift = 64 * (i // 2) // (ROTATIONS // 2)
+        one, two = _HALVES if i % 2 == 0 else _HALVES[::-1]
+        turn = lambda a, b: F.shiftleft(a, shift).bitwiseOR(F.shiftrightunsigned(b, 64 - shift)) if shift else F.col(a)  # noqa: B023, E731
+        turned.append(F.struct(turn(one, two).alias("x"), turn(two, one).alias("y")))
+    ordered = distinct.select("id", "hi", "lo", F.posexplode(F.array(*turned)).alias("turn", "key"))
+    ordered = ordered.select("id", "hi", "lo", "turn", F.shiftrightunsigned("key.x", 64 - LEADING).alias("lead"), "key.x", "key.y")
+    order = Window.partitionBy("turn", "lead").orderBy("x", "y")
+    beside = ordered.select(F.col("id").alias("a"), F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), *(F.lag(c).over(order).alias(d) for c, d in (("id", "b"), ("hi", "b_hi"), ("lo", "b_lo"))))
+    links = cut(beside.where(F.col("b").isNotNull() & (distance("a_", "b_") <= radius)).select("a", "b").distinct())
+    parts = components(links).withColumnRenamed("node", "id")
+    parted = cut(distinct.join(parts, "id", "left").select("id", "hi", "lo", F.coalesce("component", "id").alias("part")))
+    apart = (F.col("a_id") < F.col("b_id")) & (F.col("a_part") != F.col("b_part"))
+    more = _Tables(radius).pairs(parted, "id", "part", more=apart).select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()
+    classes = components(more).select(F.col("node").alias("part"), F.col("component").alias("class"))
+    named = cut(parted.join(classes, "part", "left").select("id", F.coalesce("class", "part").alias("class")).join(distinct, "id"))
+    least = named.groupBy("class").agg(F.min("least").alias("near_class"))
+    return named.join(least, "class").select("hi", "lo", "near_class")
+
+
 def edited_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many
     first ones of the next document's, by falling doc_id; after the last comes the
     first.  Texts move once, to the range of their doc_id; the next one is then in
-    the same range, or the first of the next range.  n_near counts the other
-    rows of the table whose fingerprints lie within the radius.
+    the same range, or the first of the next range.  near_class is the
+    smallest doc_id of the class of near fingerprints.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({
@@ -203,11 +261,11 @@ def edited_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     chained = table.withColumn("next_", F.lead(pair).over(Window.partitionBy("r_").orderBy("i_")))
     starts = table.where("i_ = 1").select(F.element_at(prior, F.col("r_") + 1).alias("r_"), pair.alias("wrap_"))
     chained = chained.join(starts, "r_", "left").withColumn("next_", F.coalesce("next_", "wrap_")).withColumns({"n_hi": F.col("next_.hi"), "n_lo": F.col("next_.lo"), "o_hi": F.col("hi"), "o_lo": F.col("lo")})
-    counts = near_counts(table, radius)
+    classes = near_classes(table.select("hi", "lo", "doc_id"), radius)
     likeness = lambda a, b: 1 - distance(a, b) / 128.0
-    return chained.join(counts, ["hi", "lo"], "left").select(
+    return chained.join(classes, ["hi", "lo"], "left").select(
         "doc_id", "n_chars", "edited_sha256", as_hex("hi", "lo").alias("fingerprint"), as_hex("e_hi", "e_lo").alias("edited_fingerprint"),
-        likeness("o_", "e_").alias("near_edited"), likeness("o_", "n_").alias("near_next"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        likeness("o_", "e_").alias("near_edited"), likeness("o_", "n_").alias("near_next"), "near_class",
     )
 
 

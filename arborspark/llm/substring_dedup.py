@@ -7,8 +7,8 @@ anchor; shared symbols reveal candidates, whose windows are then verified one
 by one (:mod:`.repeats`).
 
 Defined cases: a null text has no words; repeated rows of one doc_id do not
-remove one another; a null doc_id counts as the greatest; an empty table gives
-no rows.
+remove one another; a null doc_id counts as 2**63 - 1;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .repeats import LAST, covered, keyed, with_runs
+from .repeats import covered, keyed, with_runs
 from .shared import column_of, documents, over_texts, words
 
 
@@ -38,10 +38,9 @@ def dedup_words(docs: DataFrame) -> DataFrame:
             if before[of[row]] != before[of[row + 1]]:
                 own = [w for w, x in zip(own, gone[of[row] : of[row + 1]].tolist(), strict=True) if not x]
             digests.append(hashlib.sha256(b" ".join(own)).hexdigest())
-        return pa.record_batch([column_of(batch, "doc_id"), pa.array(np.diff(of)), pa.array(np.diff(before[of])), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return pa.record_batch([column_of(batch, "given"), pa.array(np.diff(of)), pa.array(np.diff(before[of])), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    made = over_texts(with_runs(keyed(docs), "words"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return made.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
+    return over_texts(with_runs(keyed(docs, F.col("doc_id").cast("long").alias("given")), "words"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

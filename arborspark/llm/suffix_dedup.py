@@ -10,7 +10,8 @@ that are unique drop out, and only what is left is ranked at the next offset.
 Each 50-byte string holds a sampled position, chosen by its own bytes.
 
 Defined cases: a null text is empty; repeated rows of one doc_id do not remove
-one another; a null doc_id counts as the greatest; an empty table gives no rows.
+one another; a null doc_id counts as 2**63 - 1;
+an empty table gives no rows.
 Matches may begin within a character; the kept bytes are hashed as they are.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import LAST, covered, keyed, with_runs
+from .repeats import covered, keyed, with_runs
 from .shared import column_of, documents, over_texts
 
 
@@ -39,10 +40,9 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
         starts[inner] = gone[inner]
         spans = np.concatenate([[0], np.cumsum(starts)])
         digests = [hashlib.sha256(raw[a:b][~gone[a:b]] if before[a] != before[b] else raw[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.record_batch([column_of(batch, "doc_id"), pa.array(np.diff(at)), pa.array(np.diff(before[at])), pa.array(np.diff(spans[at])), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return pa.record_batch([column_of(batch, "given"), pa.array(np.diff(at)), pa.array(np.diff(before[at])), pa.array(np.diff(spans[at])), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    made = over_texts(with_runs(keyed(docs), "bytes"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return made.withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
+    return over_texts(with_runs(keyed(docs, F.col("doc_id").cast("long").alias("given")), "bytes"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,20 +20,22 @@ Repeated rows are counted each.  Only the id and the text are read.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import read_ranks
-from .shared import column_of, documents, over_texts
+from .shared import column_of, documents, kept, over_texts
 
 RULES = ("start", "largest", "split")
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str):
+    """The encoding and its tokens' lengths in bytes, once per worker process."""
+    return kept(("sections", path, pattern), lambda: _made(path, pattern))
+
+
+def _made(path: str, pattern: str):
     import tiktoken
 
     ranks = read_ranks(path)
@@ -93,7 +95,7 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "start"
             names=["doc_id", "section", "start_char", "n_chars", "n_tokens", "n_crossing"],
         )
 
-    return over_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, f"doc_id long, section long, start_char long, n_chars long, n_tokens {'double' if rule == 'split' else 'long'}, n_crossing long")
+    return over_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, f"doc_id long, section long, start_char long, n_chars long, n_tokens {'double' if rule == 'split' else 'long'}, n_crossing long", keeps=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

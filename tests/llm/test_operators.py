@@ -108,6 +108,48 @@ def test_suffix_dedup(docs, rows):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_bytes(docs).collect()) == want
 
 
+def crowd():
+    """One passage in many documents, each time beside other words; some ids at the edges of long."""
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(500)]
+    text = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    passage, other = text(75), text(64)
+    texts = [text(rng.randint(0, 30)) + " " + passage + " " + text(rng.randint(0, 30)) for _ in range(60)]
+    texts += [text(20) + " " + other + " " + passage, other, passage, passage, text(55), "z " * 130]
+    ids = rng.sample(range(1000), len(texts) - 2) + [(1 << 63) - 1, -(1 << 63)]
+    return list(zip(ids, texts, strict=True))
+
+
+@pytest.mark.parametrize(("kind", "slice_bytes"), [("words", 3000), ("bytes", 3000), ("words", 700), ("bytes", 700)])
+def test_a_passage_of_many_documents(spark, monkeypatch, kind, slice_bytes):
+    from arborspark.llm import repeats, shared
+
+    rows = crowd()
+    monkeypatch.setattr(shared, "SLICE_BYTES", slice_bytes)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    split = (lambda t: t.encode().split()) if kind == "words" else (lambda t: [bytes([b]) for b in t.encode()])
+    joined = b" ".join if kind == "words" else b"".join
+    first = {}
+    for i, t in rows:
+        x = split(t)
+        for k in range(len(x) - 49):
+            w = tuple(x[k : k + 50])
+            first[w] = min(first.get(w, i), i)
+    want = {}
+    for i, t in rows:
+        x = split(t)
+        gone = [False] * len(x)
+        for k in range(len(x) - 49):
+            if first[tuple(x[k : k + 50])] < i:
+                gone[k : k + 50] = [True] * 50
+        want[i] = sum(gone), hashlib.sha256(joined([w for w, g in zip(x, gone, strict=True) if not g])).hexdigest()
+    made = (substring_dedup.dedup_words if kind == "words" else suffix_dedup.dedup_bytes)(frame)
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in made.collect()} == want
+    # of slices that hold many such documents, most runs of the passage go to no bucket of a key
+    sent = dict(shared.over_texts(repeats.keyed(frame), repeats._runs_of(kind, 1), repeats.PACKED).groupBy(F.col("bucket") >= 0).agg(F.sum("n")).collect())
+    assert slice_bytes < 3000 or sent[False] > 2 * 60
+
+
 def test_bpe(docs, rows):
     import tiktoken
 
@@ -238,8 +280,36 @@ def test_fingerprints(spark):
         edited, r = t[: len(t) - half] + follower[:half], got[i]
         assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), prints[i], voted(edited))
         assert (r.near_edited, r.near_next) == (pytest.approx(near(prints[i], voted(edited))), pytest.approx(near(prints[i], prints[j])))
-        assert r.n_near == sum(k != i and (int(x, 16) ^ int(prints[i], 16)).bit_count() <= simhash.RADIUS for k, x in prints.items())
     assert len(got) == len(rows)
+    classes = {i: i for i in prints}
+    for _ in prints:
+        for i, x in prints.items():
+            classes[i] = min(classes[j] for j, y in prints.items() if (int(x, 16) ^ int(y, 16)).bit_count() <= simhash.RADIUS)
+    assert {i: r.near_class for i, r in got.items()} == classes
+
+
+def test_near_classes(spark, monkeypatch):
+    rng = random.Random(16)
+    base = [rng.getrandbits(128) for _ in range(40)]
+    for b in base[:15]:
+        base += [b ^ sum(1 << x for x in rng.sample(range(128), k)) for k in (1, 5, 10, 18, 19, 20, 21, 30)]
+    base += [base[0] ^ (1 << k) for k in range(60)] + base[:5] + [0, 0]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(b >> 64), signed(b & (1 << 64) - 1), i if i % 3 else None) for i, b in enumerate(base)], "hi long, lo long, doc_id long")
+    for rotations, cell in ((16, 1 << 14), (2, 3)):
+        monkeypatch.setattr(simhash, "CELL_ROWS", cell)
+        monkeypatch.setattr(simhash, "ROTATIONS", rotations)
+        left, want = dict.fromkeys(base), {}
+        while left:
+            reached, new = set(), [next(iter(left))]
+            while new:
+                reached.update(new)
+                new = [b for b in left if b not in reached and any((a ^ b).bit_count() <= 19 for a in new)]
+            least = min((i for i, b in enumerate(base) if b in reached and i % 3), default=None)
+            want |= dict.fromkeys(reached, least)
+            left = {b: None for b in left if b not in reached}
+        got = simhash.near_classes(table, 19).collect()
+        assert {(r.hi % (1 << 64)) << 64 | r.lo % (1 << 64): r.near_class for r in got} == want
 
 
 def test_fingerprints_of_odd_rows(docs, rows):
@@ -287,8 +357,8 @@ def test_near_copies_of_one_word_changed_are_near(spark):
         words = [rng.choice(pool) for _ in range(150)]
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:70] + ["changed"] + words[71:]))]
     rows += [(100, "one text only"), (101, "one text only")]
-    got = {r.doc_id: r.n_near for r in simhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[i] == 1 for i in range(24)) and got[100] == got[101] == 1
+    got = {r.doc_id: r.near_class for r in simhash.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
 
 
 def test_language_id(spark, docs):
