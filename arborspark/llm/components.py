@@ -2,7 +2,9 @@
 
 Each half-step replaces a node's links by links to its smallest neighbour, found by
 a grouped minimum that combines before the shuffle; no neighbour list is
-gathered.  Rounds are written to the shared checkpoint folder.
+gathered.  Nodes of very many links, as the centres of large stars, are few; their
+minima are broadcast, so their links stay where they are.  Rounds are written to
+the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -12,6 +14,20 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
+#: A node has very many links beyond the greater of this number and the links' number by this one: so at most twice as many nodes have.
+CROWDED, MOST_CROWDED = 1000, 100_000
+
+
+def _with_least(links: DataFrame, total: int) -> DataFrame:
+    """u, v, m of links (u, v): m is the least v of u."""
+    limit = max(CROWDED, total // MOST_CROWDED)
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    crowded = cut(least.where(F.col("n") > limit).select("u", "m")) if total > limit else None
+    if crowded is None or crowded.isEmpty():
+        return links.join(least.select("u", "m"), "u")
+    rest = links.join(F.broadcast(crowded.select("u")), "u", "left_anti").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
+    return links.join(F.broadcast(crowded), "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
+
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (its smallest reachable node) of every node that has a link (a, b).
@@ -19,18 +35,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Self links, repeated links and links of null ends are allowed and mean nothing.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v").distinct())
-    before = None
-    for _ in range(most_rounds):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    state = lambda: edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
+    before = state()
+    for _ in range(most_rounds if before[0] else 0):
+        both = _with_least(edges.union(edges.select("v", "u")), 2 * before[0])
+        large = cut(both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = _with_least(large, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
+        now = state()
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle")
+        if before[0]:
+            raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

@@ -8,13 +8,15 @@ pair within six standard deviations of the limit is then confirmed on the full
 sets, so the estimate rejects but never accepts.
 
 Skew: documents of equal sets collapse to one representative before banding.
-Of each band bucket, members first meet only the bucket's smallest member.  Once
-the links found so far are closed to components, only pairs of a bucket that
-still lie in different components are looked at: a pair within one component
-could not change the result.  Documents that were all compared with one bucket's
-smallest member meet as its group, in cells of bounded size that hold their full
-sets and give nothing but links between components; other pairs join on the band
-key, whose large groups adaptive execution splits.
+Of each band bucket, members first meet only the bucket's smallest member, its
+hub, and of several hubs one at a time: the smallest, then one of each class that
+a document does not belong to yet, then the others.  Links are closed to classes in
+between, so most documents are compared once.  A document belongs to the group of
+its smallest hub.  Members of one group that then lie in different classes meet in
+cells of bounded size, the members of its largest class with the others and these
+among themselves; cells hold full sets and give nothing but links between classes.
+Pairs of a bucket that belong to different groups and classes join on the band key,
+without those of the bucket's largest group among themselves.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**5)**51,
 below 2e-9.
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import GOLDEN, column_of, cut, having, mix, over_texts, pair_hash, signed, slices, texts_of, word_names
+from .shared import GOLDEN, column_of, cut, having, mix, over_texts, pair_hash, release, signed, slices, texts_of, word_names
 
 MINIMA = 512
 ROWS = 5
@@ -150,8 +152,8 @@ def _compared(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_agree(size), "a long, b long, both long, n_a long, n_b long")
 
 
-#: Members of a hub's group that meet in one cell, and shingles counted at a time there.
-CELL, COLUMNS = 2000, 2048
+#: Members of a group in a block, of which two make a cell, their shingles, and shingles counted at a time.
+CELL, CELL_SHINGLES, COLUMNS = 2000, 2_000_000, 2048
 
 
 def _cell_links(size: int, percent: int):
@@ -184,24 +186,36 @@ def _cell_links(size: int, percent: int):
             linked &= block[:, None] != block[None, :]
         x, y = np.nonzero(linked)
         _, first = np.unique(np.stack([part[x], part[y]], 1), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+        release()
         return pa.table({"a": rep[x[first]], "b": rep[y[first]]})
 
     return run
 
 
-def _within_groups(compared: DataFrame, parts: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: links between components within the groups of documents compared with one hub.
+def _largest(members: DataFrame, key: str, of: str) -> DataFrame:
+    """key, main: the value of `of` that most rows of each key have, where there are two at least."""
+    sizes = members.groupBy(key, of).agg(F.count("*").alias("n"))
+    found = sizes.groupBy(key).agg(F.max(F.struct("n", F.col(of).alias("main"))).alias("x"), F.count("*").alias("many")).where("many > 1")
+    return cut(found.select(key, "x.main"))
 
-    A task holds two blocks of a group at most and gives links only, so a group of
-    thousands of near copies yields neither a large task nor its pairs as rows.
+
+def _within_groups(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links between classes within the groups; members has group, rep, part, n_shingles.
+
+    A task holds two blocks of a group at most, and gives links only.  Blocks hold
+    either members of the group's largest class or others; two blocks of the largest
+    class never meet.
     """
-    members = compared.select(F.col("a").alias("hub"), F.col("b").alias("rep")).distinct().join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("part"))
-    groups = members.groupBy("hub").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("hub", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
-    dealt = members.join(groups, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cut(dealt.select("hub", "rep", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    members = members.join(_largest(members, "group", "part"), "group").withColumn("outer", F.col("part") != F.col("main"))
+    count = lambda outer: F.ceil(F.greatest(F.sum(F.when(F.col("outer") == outer, 1).otherwise(0)) / CELL, F.sum(F.when(F.col("outer") == outer, F.col("n_shingles")).otherwise(0)) / CELL_SHINGLES)).cast("int")
+    groups = members.groupBy("group").agg(count(False).alias("inner_blocks"), count(True).alias("outer_blocks"))
+    dealt = members.join(groups, "group").withColumn("block", F.when(F.col("outer"), F.col("inner_blocks") + F.pmod(F.xxhash64("rep"), F.col("outer_blocks"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("inner_blocks"))).cast("int"))
+    others = F.sequence(F.when(F.col("outer"), F.lit(0)).otherwise(F.col("inner_blocks")), F.col("inner_blocks") + F.col("outer_blocks") - 1)
+    dealt = dealt.withColumn("other", F.explode(others))
+    cells = cut(dealt.select("group", "rep", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
     texts = having(docs, cut(cells.select(F.col("rep").alias("doc_id")).distinct()), "doc_id")
-    full = cells.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("hub", "rep", "part", "block", "i", "j", "text")
-    return full.groupBy("hub", "i", "j").applyInArrow(_cell_links(size, percent), "a long, b long")
+    full = cells.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("group", "rep", "part", "block", "i", "j", "text")
+    return full.groupBy("group", "i", "j").applyInArrow(_cell_links(size, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -214,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     rows = cut(over_texts(docs, _sketch(shingle_words), "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sig array<long>"))
     some = rows.where("doc_id is not null and n_shingles > 0")
     # documents of one set share its bands and signature, so any of theirs will do
-    lone = cut(some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")))
+    lone = cut(some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.any_value("n_shingles").alias("n_shingles")))
     copies = some.select("set_hi", "set_lo", "doc_id").join(lone.where("copies > 1").select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     banded = lone.select(F.explode("bands").alias("key"), "rep")
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
@@ -226,20 +240,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     # a doc_id that stands in several rows has several sets; its pair with itself means nothing
     met = shared.select(F.col("hub").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     stars = cut(met.join(of_a, "a").join(of_b, "b").where(near).select("a", "b").distinct())
-    compared = cut(_compared(stars, docs, shingle_words).distinct())
-    links = compared.where(linked).select("a", "b")
-    parts = components(links)
-    # what still lies apart within a bucket, and whether it was compared with the bucket's hub
-    sure = compared.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.lit(1).alias("c")).distinct()
-    parted = cut(shared.distinct().join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("part")))
-    mixed = parted.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    members = cut(parted.join(mixed, "key", "left_semi").join(sigs, "rep").join(sure, ["hub", "rep"], "left"))
-    # pairs with the hub itself were compared already, and pairs of documents compared with the hub meet in its group
-    grouped = _within_groups(compared, parts, docs, shingle_words, percent)
-    plain = members.where("rep <> hub")
-    one = plain.select("key", F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("sig").alias("sa"), F.col("c").isNotNull().alias("ga"))
-    two = plain.select(F.col("key").alias("key_"), F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("sig").alias("sb"), F.col("c").isNotNull().alias("gb"))
-    apart = one.join(two, (F.col("key") == F.col("key_")) & (F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & ~(F.col("ga") & F.col("gb")) & near).select("a", "b").distinct()
+    groups = cut(stars.groupBy("b").agg(F.min("a").alias("group")).select(F.col("b").alias("rep"), "group"))
+    links = parts = None
+    left = stars
+    for turn in range(3):
+        if turn == 0:
+            now = groups.select(F.col("group").alias("a"), F.col("rep").alias("b"))
+        else:
+            part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"p{c}"))  # noqa: B023, E731
+            left = cut(left.join(now, ["a", "b"], "left_anti").join(part("a"), "a", "left").join(part("b"), "b", "left").withColumns({c: F.coalesce(c, c[1]) for c in ("pa", "pb")}).where("pa <> pb"))
+            if left.isEmpty():
+                break
+            now = cut(left.groupBy("b", "pa").agg(F.min("a").alias("a")).select("a", "b")) if turn == 1 else left.select("a", "b")
+            left = left.select("a", "b")
+        made = cut(_compared(now, docs, shingle_words).where(linked).select("a", "b").distinct())
+        links = made if links is None else cut(links.union(made))
+        parts = components(links)
+    # what still lies apart: within the group of the smallest hub, or within a bucket and in different groups
+    own = lone.select("rep", "n_shingles").join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(groups, "rep", "left")
+    own = cut(own.select("rep", "n_shingles", F.coalesce("component", "rep").alias("part"), F.coalesce("group", "rep").alias("group")))
+    grouped = _within_groups(own.join(groups.select("rep"), "rep", "left_semi"), docs, shingle_words, percent)
+    parted = shared.where("rep <> hub").select("key", "rep").distinct().join(own.select("rep", "part", "group"), "rep")
+    several = parted.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("group").alias("g"), F.max("group").alias("h")).where("p < q and g < h").select("key")
+    members = cut(parted.join(several, "key", "left_semi").join(sigs, "rep"))
+    outer = members.join(_largest(members, "key", "group"), "key").where(F.col("group") != F.col("main"))
+    one = outer.select("key", F.col("rep").alias("a"), F.col("part").alias("pa"), F.col("group").alias("ga"), F.col("sig").alias("sa"))
+    two = members.select(F.col("key").alias("key_"), F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("group").alias("gb"), F.col("sig").alias("sb"))
+    apart = one.join(two, (F.col("key") == F.col("key_")) & (F.col("pa") != F.col("pb")) & (F.col("ga") != F.col("gb")) & near)
+    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _compared(cut(apart.join(stars, ["a", "b"], "left_anti")), docs, shingle_words).where(linked).select("a", "b")
     final = components(links.union(more).union(grouped).union(copies))
     out = rows.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -250,5 +278,3 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document, on shingles of two words."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=2, percent=80)
 
-
-OP5_SQL = None

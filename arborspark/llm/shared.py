@@ -9,6 +9,8 @@ is an empty one there.
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,13 +29,19 @@ MIX_B = np.uint64(0x94D049BB133111EB)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or the one that was set for checkpoints; there must be one that all executors share."""
+    """The folder of spark.checkpoint.dir, or the one that was set for checkpoints.
+
+    Where neither is set, one process that is driver and executor in one gets a
+    temporary folder; a cluster has to name a folder that all its machines share.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     given = spark.sparkContext._jsc.sc().getCheckpointDir()
     if place is None:
-        if not given.isDefined():
+        if given.isDefined():
+            return given.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        return given.get()
+        place = tempfile.mkdtemp(prefix="checkpoints-")
     if not given.isDefined():
         spark.sparkContext.setCheckpointDir(place)
     return place

@@ -68,6 +68,45 @@ def test_minhash(docs, rows, size):
     assert got == want
 
 
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text with a few words changed, many of them close to the limit; blocks of cells are tiny."""
+    rng = random.Random(15)
+    pool = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(pool) for _ in range(100)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(2, 8)):
+            words[rng.randrange(100)] = rng.choice(pool)
+        rows.append((i * 7 % 151, " ".join(words)))
+    rows += [(200 + i, " ".join(rng.choice(pool) for _ in range(60))) for i in range(20)]
+    monkeypatch.setattr(minhash, "CELL", 10)
+    known = {i: shingles(t, 2) for i, t in rows}
+    like = {(a, b): len(known[a] & known[b]) / len(known[a] | known[b]) for a in known for b in known if a < b}
+    assert sum(0.8 <= x <= 0.85 for x in like.values()) > 30
+    want = {i: i for i in known}
+    for _ in range(20):
+        for (a, b), x in like.items():
+            if 100 * len(known[a] & known[b]) >= 80 * len(known[a] | known[b]):
+                want[a] = want[b] = min(want[a], want[b])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) > 25
+
+
+def test_components_of_large_stars(spark, monkeypatch):
+    from arborspark.llm import components as module
+
+    monkeypatch.setattr(module, "CROWDED", 5)
+    links = [(1000 + i, i % 3) for i in range(60)] + [(0, 50), (50, 51), (1005, 70), (1001, 71), (71, 1007)]
+    want = {}
+    for a, b in links:
+        want.setdefault(a, a), want.setdefault(b, b)
+    for _ in range(10):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect())) == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7), (9, 8), (8, 10), (10, 3), (None, 1), (2, 1)], "a long, b long")
     assert {tuple(r) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (8, 1), (9, 1), (10, 1), (4, 4), (5, 4)}
