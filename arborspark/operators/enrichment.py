@@ -76,6 +76,7 @@ def elim(onto: Ontology, items: DataFrame, external: DataFrame, total: int, thre
     levels = connected(onto, items)
     held = inherited(onto, items, levels, strict)
     external = cut(external.select("item").distinct())
+    n_external = external.count()
     spark = items.sparkSession
     gone = spark.createDataFrame([], held.schema)
     results = []
@@ -87,13 +88,13 @@ def elim(onto: Ontology, items: DataFrame, external: DataFrame, total: int, thre
         size = mine.groupBy("term").agg(F.count("*").alias("size"))
         less = lost.join(external, "item", "left_semi").groupBy("term").agg(F.count("*").alias("less"))
         x = terms.join(a, "term", "left").join(size, "term", "left").join(less, "term", "left").na.fill(0)
-        b, c = F.lit(external.count()) - F.col("less") - F.col("a"), F.col("size") - F.col("a")
+        b, c = F.lit(n_external) - F.col("less") - F.col("a"), F.col("size") - F.col("a")
         tested = cut(x.select("term", F.lit(level).alias("level"), fisher_two_sided(F.col("a"), b, c, F.lit(total) - F.col("a") - b - c).alias("p_value")))
         results.append(tested)
         hit = tested.where(F.col("p_value") <= threshold).select("term")
         gone = cut(gone.union(held.join(hit, "term", "left_semi").join(onto.closed.select("term", "ancestor"), "term").select(F.col("ancestor").alias("term"), "item")).distinct())
-    out = results[0]
-    for more in results[1:]:
+    out = spark.createDataFrame([], "term string, level int, p_value double")
+    for more in results:
         out = out.union(more)
     return out
 
