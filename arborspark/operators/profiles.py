@@ -81,9 +81,13 @@ def cleaned_by_score(onto: Ontology, profiles: DataFrame, scores: DataFrame, gre
     """
     rows = profiles.select("profile_id", "term").distinct()
     scored = rows.join(scores, "term").select("profile_id", "term", "score")
-    near = onto.closed.select("term", F.col("ancestor").alias("other")).union(onto.closed.select("ancestor", "term")).union(scores.select("term", F.col("term").alias("other")))
     others = scored.select("profile_id", F.col("term").alias("other"), F.col("score").alias("s"))
-    best = scored.join(near.distinct(), "term").join(others, ["profile_id", "other"]).groupBy("profile_id", "term").agg(F.min_by("other", F.struct(-F.col("s") if greatest else F.col("s"), "other")).alias("kept"))
+    # upwards only, as a term has few ancestors; each pair found counts for both
+    up = scored.join(onto.closed.select("term", F.col("ancestor").alias("other")), "term").join(others, ["profile_id", "other"])
+    pair = lambda term, other, s: F.struct(F.col(term).alias("term"), F.col(other).alias("other"), F.col(s).alias("s"))
+    related = up.select("profile_id", F.explode(F.array(pair("term", "other", "s"), pair("other", "term", "score"))).alias("x")).select("profile_id", "x.*")
+    related = related.union(scored.select("profile_id", "term", F.col("term").alias("other"), F.col("score").alias("s")))
+    best = related.groupBy("profile_id", "term").agg(F.min_by("other", F.struct(-F.col("s") if greatest else F.col("s"), "other")).alias("kept"))
     out = best.select("profile_id", F.col("kept").alias("term"))
     if not remove_unscored:
         out = out.union(rows.join(scores.select("term"), "term", "left_anti").select("profile_id", "term"))
