@@ -48,11 +48,12 @@ def shortest_levels(terms: DataFrame, edges: DataFrame, paths: DataFrame) -> Dat
         "term", F.coalesce("level", F.when(F.col("has_").isNull(), F.lit(1)).otherwise(F.lit(-1))).cast("int").alias("level"))
 
 
-def longest_levels(terms: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def longest_levels(terms: DataFrame, edges: DataFrame) -> DataFrame:
     """term, level: nodes on the longest way to a parentless node of an acyclic hierarchy."""
     nodes = terms.select("term").union(edges.select("parent")).distinct()
     level = cut(nodes.withColumn("level", F.lit(1)))
-    for _ in range(most_rounds):
+    # no way has more nodes than there are; levels that still rise then lie above a cycle
+    for _ in range(level.count() + 1):
         higher = edges.join(level.withColumnRenamed("term", "parent"), "parent").groupBy(F.col("child").alias("term")).agg((F.max("level") + 1).alias("up"))
         moved = cut(level.join(higher, "term", "left").select("term", F.greatest("level", F.coalesce("up", "level")).alias("level")))
         if moved.agg(F.sum("level")).first() == level.agg(F.sum("level")).first():

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import quantile, ratio
+from ..functions.numeric import ratio
 from ..model import Ontology
 from .lookup import names_of
 
@@ -21,23 +21,39 @@ def mean_size(profiles: DataFrame, digits: int = 4) -> DataFrame:
 
 
 
-def _sorted_sizes(counted: DataFrame):
-    return F.sort_array(F.collect_list("size")).alias("sorted_")
+def _quantiles(counted: DataFrame, **places: float) -> DataFrame:
+    """One row with the size at each place, at (n - 1) p or the mean of the two around it; null without sizes.
+
+    Sizes are counted first, so one row holds each different size once.
+    """
+    each = counted.groupBy("size").agg(F.count("*").alias("n"))
+    upto = F.aggregate(F.sort_array(F.collect_list(F.struct("size", "n"))), F.array().cast("array<struct<size:bigint,upto:bigint>>"), lambda done, x: F.concat(done, F.array(F.struct(
+        x["size"].cast("long").alias("size"), (F.coalesce(F.get(done, F.size(done) - 1)["upto"], F.lit(0)) + x["n"]).alias("upto")))))
+    whole = each.agg(upto.alias("upto_"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_"))
+
+    def value(p: float) -> Column:
+        at = F.round((F.col("n_") - 1) * F.lit(p), 9)
+        low, high = (F.get(F.filter("upto_", lambda x: x["upto"] > f(at)), 0)["size"].cast("double") for f in (F.floor, F.ceil))  # noqa: B023
+        return F.when(F.col("n_") > 0, (low + high) / 2)
+
+    return whole.select(*(value(p).alias(name) for name, p in places.items()))
 
 
 def size_at_percentile(profiles: DataFrame, percent: float, increasing: bool = False) -> DataFrame:
     """The size at a percentile of the profiles in falling (increasing: rising) order."""
     p = percent / 100 if increasing else 1 - percent / 100
-    return sizes(profiles).agg(_sorted_sizes(profiles)).select(quantile(F.col("sorted_"), p).alias("size"))
+    return _quantiles(sizes(profiles), size=p)
 
 
 def profile_stats(profiles: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """average, variance and deviation (of the population), max, min, count, count_non_zero, q1, median, q3 of the sizes."""
     counted = sizes(profiles, ids)
-    return counted.agg(
+    whole = counted.agg(
         F.avg("size").alias("average"), F.var_pop("size").alias("variance"), F.stddev_pop("size").alias("standard_deviation"), F.max("size").alias("max"), F.min("size").alias("min"),
-        F.count("*").alias("count"), F.count_if(F.col("size") != 0).alias("count_non_zero"), _sorted_sizes(counted),
-    ).select("average", "variance", "standard_deviation", "max", "min", "count", "count_non_zero", *(quantile(F.col("sorted_"), p).alias(name) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+        F.count("*").alias("count"), F.count_if(F.col("size") != 0).alias("count_non_zero"),
+    )
+    # both sides are one row
+    return whole.crossJoin(F.broadcast(_quantiles(counted, q1=0.25, median=0.5, q3=0.75)))
 
 
 #: Labels of the report's rows and the figures behind them.
