@@ -158,8 +158,11 @@ class _Tables:
         cell = F.least("chunk", "other").cast("long") * F.col("chunks") + F.greatest("chunk", "other")
         return rows.withColumn("cell", cell).withColumn("chunk", F.when(F.col("chunk") == F.col("other"), F.lit(-1)).otherwise(F.col("chunk"))).drop("other", "chunks"), True
 
-    def pairs(self, distinct: DataFrame, *others: str, more: Column | None = None) -> DataFrame:
-        """All ordered pairs of different rows within the radius that meet `more`, each once: columns of both with a_ and b_ before their names."""
+    def pairs(self, distinct: DataFrame, *others: str, given: Column | None = None) -> DataFrame:
+        """All ordered pairs of different rows within the radius, each once: columns of both with a_ and b_ before their names.
+
+        With a condition `given`, which no row meets with itself: the pairs that meet it, each once or more often.
+        """
         rows, chunked = self.dealt(distinct, *others)
         side = lambda name: rows.select(F.col("table").alias(f"{name}table"), F.col("value").alias(f"{name}value"), F.col("cell").alias(f"{name}cell"), *(F.col(c).alias(f"{name}{c}") for c in ("hi", "lo", "chunk", *others)))
         differ = lambda half, bits: F.col(f"a_{half}").bitwiseXOR(F.col(f"b_{half}")).bitwiseAND(self._mask(bits)) != 0
@@ -173,8 +176,9 @@ class _Tables:
             # four tables find a pair with an equal block: the first one counts it
             same = same | F.col("a_table").between(4 * i + 1, 4 * i + 3) & ~differ(half, sum(four))
         keys = (F.col("a_table") == F.col("b_table")) & (F.col("a_value") == F.col("b_value")) & (F.col("a_cell") == F.col("b_cell"))
-        condition = keys & within & unequal & cells & ~same & ~earlier
-        return side("a_").join(side("b_").hint("merge"), condition if more is None else condition & more)
+        # the shorter condition stays within what the JVM compiles
+        condition = keys & within & given if given is not None else keys & within & unequal & cells & ~same & ~earlier
+        return side("a_").join(side("b_").hint("merge"), condition)
 
 
 def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -213,8 +217,8 @@ def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     links = cut(beside.where(F.col("b").isNotNull() & (distance("a_", "b_") <= radius)).select("a", "b").distinct())
     parts = components(links).withColumnRenamed("node", "id")
     parted = cut(distinct.join(parts, "id", "left").select("id", "hi", "lo", F.coalesce("component", "id").alias("part")))
-    apart = (F.col("a_id") < F.col("b_id")) & (F.col("a_part") != F.col("b_part"))
-    more = _Tables(radius).pairs(parted, "id", "part", more=apart).select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()
+    apart = F.col("a_part") < F.col("b_part")
+    more = _Tables(radius).pairs(parted, "part", given=apart).select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()
     classes = components(more).select(F.col("node").alias("part"), F.col("component").alias("class"))
     named = cut(parted.join(classes, "part", "left").select("id", F.coalesce("class", "part").alias("class")).join(distinct, "id"))
     least = named.groupBy("class").agg(F.min("least").alias("near_class"))
