@@ -14,10 +14,11 @@ matter are never read.  Queries of a block go through a tree together.
 Two passes propagate the k-th score: each query first searches one home shard;
 the k-th score found there is the starting limit for all other shards.  Queries
 travel in groups of blocks, so a task holds one shard and a bounded number of queries.  Scores are integers, held
-exactly by 64-bit floats.
+by 64-bit floats, and exact while the products of a query and a vector sum to less than 2**53.
 
 Defined cases: vectors that are null, or hold a null or a non-finite component,
-take no part; vectors of different lengths never meet; a query with fewer
+take no part; finite components beyond 2**46 count as
+that, and scores beyond 2**62 as that; vectors of different lengths never meet; a query with fewer
 candidates returns them all; ties go to the smaller id, equal ids in any
 order; a row is no candidate for itself, nor are other rows of its id.  An empty
 table gives no rows.  Only the id and the vector are read.
@@ -36,6 +37,8 @@ from .shared import cut
 SHARD_ROWS = 8192
 LEAF_ROWS = 64
 BLOCK_QUERIES = 512
+#: The greatest component, whose 256 fold is far from the end of long, and the greatest score.
+LARGEST, HIGHEST = float(1 << 46), float(1 << 62)
 #: Blocks of queries that one task takes to a shard.
 GROUP_BLOCKS = 64
 
@@ -101,8 +104,8 @@ class KdTree:
 
 
 def quantised(vector: Column) -> Column:
-    """floor(256 * x) of every component, as doubles."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("long"))
+    """floor(256 * x) of every component; components beyond LARGEST count as that."""
+    return F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double"), F.lit(LARGEST)), F.lit(-LARGEST)) * 256).cast("long"))
 
 
 def _usable(vector: Column) -> Column:
@@ -135,7 +138,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                     scores, ids = tree.search(part["id"].to_numpy(), np.stack(part["v"]).astype(np.float64).reshape(len(part), -1), k, part["least"].to_numpy())
                     good = scores > -np.inf
                     times = good.sum(axis=1)
-                    out.append(pd.DataFrame({"query_row": np.repeat(part["query_row"].to_numpy(), times), "query_id": np.repeat(part["id"].to_numpy(), times), "vec_id": ids[good], "score": scores[good].astype(np.int64)}))
+                    out.append(pd.DataFrame({"query_row": np.repeat(part["query_row"].to_numpy(), times), "query_id": np.repeat(part["id"].to_numpy(), times), "vec_id": ids[good], "score": np.clip(scores[good], -HIGHEST, HIGHEST).astype(np.int64)}))
             return pd.concat(out)
 
         names = ("shard", "group", "asks", "query_row", "id", "v", "dim", "least")

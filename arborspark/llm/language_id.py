@@ -17,7 +17,9 @@ The models are fitted on a bounded sample: of each language the
 ``longest`` characters; each such text is used whole.  Every character of every
 text is scored.
 
-Letters are lower-cased, every other run of characters counts as one blank.
+Letters are lower-cased, every other run of characters counts as one blank.  An
+n-gram has 16 bits for a letter: should a sample hold more than 65,534 different
+letters, those last in the order of code points count as unknown ones.
 Defined cases: null, empty and letterless texts get `und`, score 0 and are
 rejected; ties go to the language first in order; repeated rows are scored each;
 an empty table gives no rows; without any labelled row every text gets `und`.

@@ -2,7 +2,9 @@
 
 A weighted sample of keys, of a size that depends on the number of ranges and not
 on the rows, gives quantile boundaries; rows are dealt to the ranges between
-them; ranges that come out overfull are sampled again and subdivided.  The
+them; ranges that come out overfull are sampled again and subdivided, up to four
+times; a range that is overfull even then, as one of many rows with one key is,
+stays whole, and nothing is dropped.  The
 histogram of the ranges (one row each) gives every range its place, so a row's
 place in the whole order needs a window over its own range alone.
 """
@@ -12,7 +14,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sampled keys for each range, rows that a range should hold, and the least number of ranges.
@@ -92,6 +94,3 @@ def sampled_ranges(df: DataFrame, a: str, b: str, weight: str) -> Ranges:
     n = len(splitters) + 1
     return Ranges(splitters, [counted.get(i, (0, 0))[0] for i in range(n)], [counted.get(i, (0, 0))[1] for i in range(n)])
 
-
-def within(ranges_column: str, *order: str):
-    return Window.partitionBy(ranges_column).orderBy(*order)

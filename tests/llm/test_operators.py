@@ -448,6 +448,13 @@ def test_top_k(spark):
     assert kdtree.top_k(df.where("false"), F.lit(True), 5).isEmpty()
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(1, [1.1e12, 1.0]), (2, [1e300, -1e300]), (3, [-1e300, 0.0]), (4, [0.5, 0.25]), (5, [float("inf"), 0.0]), (6, None)]
+    got = kdtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 4, 5).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got)] == [(1, 2), (2, 1), (3, 3)]
+    assert next(r.score for r in got if r.vec_id == 1) == 128 * 256 * 1_100_000_000_000 + 64 * 256
+
+
 def test_empty_tables(empty):
     path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
     made = [minhash.near_duplicates(empty), substring_dedup.dedup_words(empty), suffix_dedup.dedup_bytes(empty), substring_dedup.without_repeats(empty), bpe.bpe_digests(empty, path, pattern), token_counts.section_tokens(empty, path, pattern),
