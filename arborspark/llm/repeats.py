@@ -39,7 +39,7 @@ from .shared import _BYTE_NAMES, column_of, over_texts, release, rolling, span_h
 #: Bytes of text whose runs go to one bucket.
 BUCKET_BYTES = 10_000_000
 #: Runs of one key that a slice sends at most, and spans and keys that a task remembers; beyond these the oldest are forgotten and sent again.
-CROWD, REMEMBERED = 2, 1 << 16
+CROWD, REMEMBERED = 16, 1 << 16
 #: Stands for a null doc_id: none is later.
 LAST = (1 << 63) - 1
 

@@ -159,7 +159,7 @@ def crowd():
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize(("kind", "slice_bytes"), [("words", 3000), ("bytes", 3000), ("words", 700), ("bytes", 700)])
+@pytest.mark.parametrize(("kind", "slice_bytes"), [("words", 30_000), ("bytes", 30_000), ("words", 700), ("bytes", 700)])
 def test_a_passage_of_many_documents(spark, monkeypatch, kind, slice_bytes):
     from arborspark.llm import repeats, shared
 
@@ -186,7 +186,7 @@ def test_a_passage_of_many_documents(spark, monkeypatch, kind, slice_bytes):
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in made.collect()} == want
     # of slices that hold many such documents, most runs of the passage go to no bucket of a key
     sent = dict(shared.over_texts(repeats.keyed(frame), repeats._runs_of(kind, 1), repeats.PACKED).groupBy(F.col("bucket") >= 0).agg(F.sum("n")).collect())
-    assert slice_bytes < 3000 or sent[False] > 2 * 60
+    assert slice_bytes < 30_000 or sent[False] > 2 * 60
 
 
 def test_bpe(docs, rows):
