@@ -112,6 +112,32 @@ def test_components(spark):
     assert {tuple(r) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (8, 1), (9, 1), (10, 1), (4, 4), (5, 4)}
 
 
+@pytest.mark.parametrize("task_links", [7, 40, 10**6])
+def test_components_over_several_tasks(spark, monkeypatch, task_links):
+    from arborspark.llm import components as module
+
+    monkeypatch.setattr(module, "TASK_LINKS", task_links)
+    monkeypatch.setattr(module, "CROWDED", 5)
+    chance = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in chance.integers(-60, 240, (150, 2))] + [(i, i + 1) for i in range(300, 340)] + [(900, i) for i in range(400, 440)] + [(None, 5), (7, None), (8, 8), (8, 8)]
+    links += [(-(2**63), 2**63 - 1), (2**63 - 1, 1000)]
+    root: dict[int, int] = {}
+
+    def top(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    made = [tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert len(made) == len(set(made)) and dict(made) == {x: top(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def repeats(rows, tokens, join):
     first = {}
     key = lambda i: (1 << 63) - 1 if i is None else i
