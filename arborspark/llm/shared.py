@@ -107,11 +107,18 @@ _kept: dict[object, object] = {}
 def kept(key: object, make: Callable[[], object]):
     """The object of this key, made once per worker process; objects of other keys are dropped, as workers serve one operator after the other."""
     if key not in _kept:
-        _kept.clear()
+        _dropped()
         _kept[key] = make()
     return _kept[key]
 
 
+def _dropped() -> None:
+    """Forget what was kept and give its memory back before anything takes its place."""
+    if _kept:
+        _kept.clear()
+        release()
+
+
 def release() -> None:
     """Give freed memory back to the system, for the executor's other processes."""
     pa.default_memory_pool().release_unused()
@@ -131,7 +138,7 @@ def over_texts(df: DataFrame, fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
-            _kept.clear()
+            _dropped()
         for batch in batches:
             for part in slices(batch, column, limit):
                 raw, at = texts_of(part.column(part.schema.names.index(column)))
