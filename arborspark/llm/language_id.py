@@ -39,6 +39,8 @@ from .shared import column_of, documents, mix, over_texts
 
 ORDER = 4
 BLANK, UNKNOWN = 1, 0
+#: Symbols that are judged at once, whatever the lengths of texts.
+BLOCK = 1 << 16
 
 
 class HashArray:
@@ -190,16 +192,19 @@ class LanguageModels:
             return names, score, loss, fine
         # each text starts anew: blanks stand before it
         wide = np.full(len(codes) + (ORDER - 1) * n, BLANK, np.uint64)
-        wide[np.arange(len(codes)) + (ORDER - 1) * (np.repeat(np.arange(n), np.diff(of)) + 1)] = codes
-        ends = np.arange(len(codes)) + (ORDER - 1) * (np.repeat(np.arange(n), np.diff(of)) + 1)
-        grams = np.zeros(len(codes), np.uint64)
-        for k in range(ORDER):
-            grams = grams << np.uint64(16) | wide[ends - (ORDER - 1) + k]
-        logs = self.log_probabilities(grams)
-        sizes = np.diff(of)[some].astype(float)
-        filled = np.diff(of) > 0
+        doc = np.repeat(np.arange(n), np.diff(of))
+        wide[np.arange(len(codes)) + (ORDER - 1) * (doc + 1)] = codes
         sums = np.zeros((n, len(self.languages)))
-        sums[filled] = np.add.reduceat(logs.astype(np.float64), of[:-1][filled], axis=0)
+        # a block of symbols at a time, as a symbol takes some hundred bytes here
+        for start in range(0, len(codes), BLOCK):
+            own = doc[start : start + BLOCK]
+            ends = np.arange(start, start + len(own)) + (ORDER - 1) * (own + 1)
+            grams = np.zeros(len(own), np.uint64)
+            for k in range(ORDER):
+                grams = grams << np.uint64(16) | wide[ends - (ORDER - 1) + k]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            sums[own[first]] += np.add.reduceat(self.log_probabilities(grams).astype(np.float64), first, axis=0)
+        sizes = np.diff(of)[some].astype(float)
         entropy = -sums[some] / sizes[:, None]
         best = np.argmin(entropy, axis=1)
         least = entropy[np.arange(len(some)), best]
