@@ -9,14 +9,15 @@ sets, so the estimate rejects but never accepts.
 
 Skew: documents of equal sets collapse to one representative before banding.
 Of each band bucket, members first meet only the bucket's smallest member, its
-hub, and of several hubs one at a time: the smallest, then one of each class that
-a document does not belong to yet, then the others.  Links are closed to classes in
-between, so most documents are compared once.  A document belongs to the group of
-its smallest hub.  Members of one group that then lie in different classes meet in
-cells of bounded size, the members of its largest class with the others and these
-among themselves; cells hold full sets and give nothing but links between classes.
-Pairs of a bucket that belong to different groups and classes join on the band key,
-without those of the bucket's largest group among themselves.
+hub, and of several hubs first the smallest, then one of each class that a document
+does not belong to yet.  Links are closed to classes in between, so most documents
+are compared once.  What estimates connect with hubs, however far, is a family.
+Members of one family that then lie in different classes meet in cells of bounded
+size, the members of its largest class with the others and these among themselves;
+cells hold full sets and give nothing but links between classes.  So no pair of a
+family is written, though many of its estimates may lie just below the limit.
+Pairs of a bucket that belong to different families join on the band key, without
+those of the bucket's largest family among themselves.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**5)**51,
 below 2e-9.
@@ -154,6 +155,8 @@ def _compared(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 #: Members of a group in a block, of which two make a cell, their shingles, and shingles counted at a time.
 CELL, CELL_SHINGLES, COLUMNS = 2000, 2_000_000, 2048
+#: Members of a cell that are held against all others of it at a time.
+STRIP = 256
 
 
 def _cell_links(size: int, percent: int):
@@ -179,12 +182,17 @@ def _cell_links(size: int, percent: int):
             dense = np.zeros((n, COLUMNS), np.float32)
             dense[row[a:b], column[a:b] - start] = 1
             both += dense @ dense.T
-        linked = 100 * both >= percent * (count[:, None] + count[None, :] - both)
-        linked &= (part[:, None] < part[None, :])
         i, j = (int(column_of(batch, c)[0].as_py()) for c in ("i", "j"))
-        if i != j:
-            linked &= block[:, None] != block[None, :]
-        x, y = np.nonzero(linked)
+        found = []
+        for start in range(0, n, STRIP):
+            own = slice(start, start + STRIP)
+            linked = 100 * both[own] >= percent * (count[own, None] + count[None, :] - both[own])
+            linked &= part[own, None] < part[None, :]
+            if i != j:
+                linked &= block[own, None] != block[None, :]
+            x, y = np.nonzero(linked)
+            found.append((x + start, y))
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
         _, first = np.unique(np.stack([part[x], part[y]], 1), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
         release()
         return pa.table({"a": rep[x[first]], "b": rep[y[first]]})
@@ -243,7 +251,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     groups = cut(stars.groupBy("b").agg(F.min("a").alias("group")).select(F.col("b").alias("rep"), "group"))
     links = parts = None
     left = stars
-    for turn in range(3):
+    for turn in range(2):
         if turn == 0:
             now = groups.select(F.col("group").alias("a"), F.col("rep").alias("b"))
         else:
@@ -251,15 +259,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
             left = cut(left.join(now, ["a", "b"], "left_anti").join(part("a"), "a", "left").join(part("b"), "b", "left").withColumns({c: F.coalesce(c, c[1]) for c in ("pa", "pb")}).where("pa <> pb"))
             if left.isEmpty():
                 break
-            now = cut(left.groupBy("b", "pa").agg(F.min("a").alias("a")).select("a", "b")) if turn == 1 else left.select("a", "b")
-            left = left.select("a", "b")
+            now = cut(left.groupBy("b", "pa").agg(F.min("a").alias("a")).select("a", "b"))
         made = cut(_compared(now, docs, shingle_words).where(linked).select("a", "b").distinct())
         links = made if links is None else cut(links.union(made))
         parts = components(links)
-    # what still lies apart: within the group of the smallest hub, or within a bucket and in different groups
-    own = lone.select("rep", "n_shingles").join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(groups, "rep", "left")
+    # what still lies apart: within a family, that is what estimates connect with hubs, or within a bucket and in different families
+    families = cut(components(stars).select(F.col("node").alias("rep"), F.col("component").alias("group")))
+    own = lone.select("rep", "n_shingles").join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(families, "rep", "left")
     own = cut(own.select("rep", "n_shingles", F.coalesce("component", "rep").alias("part"), F.coalesce("group", "rep").alias("group")))
-    grouped = _within_groups(own.join(groups.select("rep"), "rep", "left_semi"), docs, shingle_words, percent)
+    grouped = _within_groups(own.join(families.select("rep"), "rep", "left_semi"), docs, shingle_words, percent)
     parted = shared.where("rep <> hub").select("key", "rep").distinct().join(own.select("rep", "part", "group"), "rep")
     several = parted.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("group").alias("g"), F.max("group").alias("h")).where("p < q and g < h").select("key")
     members = cut(parted.join(several, "key", "left_semi").join(sigs, "rep"))
@@ -268,7 +276,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     two = members.select(F.col("key").alias("key_"), F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("group").alias("gb"), F.col("sig").alias("sb"))
     apart = one.join(two, (F.col("key") == F.col("key_")) & (F.col("pa") != F.col("pb")) & (F.col("ga") != F.col("gb")) & near)
     apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _compared(cut(apart.join(stars, ["a", "b"], "left_anti")), docs, shingle_words).where(linked).select("a", "b")
+    more = _compared(cut(apart), docs, shingle_words).where(linked).select("a", "b")
     final = components(links.union(more).union(grouped).union(copies))
     out = rows.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
