@@ -34,12 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import WINDOW, byte_runs, window_names, word_runs
-from .shared import _BYTE_NAMES, column_of, over_texts, release, rolling, span_hash, stored, word_names
+from .shared import _BYTE_NAMES, column_of, cut, discarded, mix, over_texts, release, rolling, span_hash, stored, word_names
 
 #: Bytes of text whose runs go to one bucket.
 BUCKET_BYTES = 10_000_000
 #: Runs of one key that a slice sends at most, and spans and keys that a task remembers; beyond these the oldest are forgotten and sent again.
 CROWD, REMEMBERED = 16, 1 << 16
+#: Parts in which windows to be checked are shuffled, one after the other.
+WINDOW_PASSES = 2
 #: Stands for a null doc_id: none is later.
 LAST = (1 << 63) - 1
 
@@ -68,7 +70,7 @@ _WIDTHS = {"key": 7, "hash": 7, "doc": 4, "first": 4, "size": 1}
 
 
 def packed(bucket: np.ndarray, key: np.ndarray, hashes: np.ndarray, doc: np.ndarray, first: np.ndarray, size: np.ndarray, marked: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket that some of the runs belong to: bucket, number, body, and the documents' ids and row hashes."""
+    """One row for each bucket that some of the runs belong to: bucket, number, body, and the documents' ids (as steps) and row hashes (none if all are 0)."""
     order = np.lexsort((first, doc, bucket))
     key, hashes, doc, first, size, bucket = (x[order] for x in (key, hashes, doc, first, size | np.where(marked, 128, 0), bucket))
     begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
@@ -77,14 +79,14 @@ def packed(bucket: np.ndarray, key: np.ndarray, hashes: np.ndarray, doc: np.ndar
     for a, b in zip(begin, end, strict=True):
         used, local = np.unique(doc[a:b], return_inverse=True)
         body = b"".join(_planes(x[a:b] if name != "doc" else local, _WIDTHS[name]) for name, x in zip(_WIDTHS, (key, hashes, doc, first, size), strict=True))
-        out.append((int(bucket[a]), int(b - a), body, ids[used].tobytes(), rows[used].tobytes()))
+        out.append((int(bucket[a]), int(b - a), body, _planes(np.diff(ids[used].view(np.uint64), prepend=np.uint64(0)), 8), rows[used].tobytes() if rows[used].any() else b""))
     columns = list(zip(*out, strict=True)) or [()] * 5
     return pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["bucket", "n", "body", "ids", "rows"])
 
 
-def _bucket(key: np.ndarray, aside: np.ndarray, rows: np.ndarray, buckets: int) -> np.ndarray:
-    """A key's bucket; what has been decided in the slice goes aside, to one below 0 that the slice's rows choose."""
-    own = int(rows.view(np.uint64).sum() % np.uint64(buckets)) if len(rows) else 0
+def _bucket(key: np.ndarray, aside: np.ndarray, ids: np.ndarray, buckets: int) -> np.ndarray:
+    """A key's bucket; what has been decided in the slice goes aside, to one below 0 that the slice's ids choose."""
+    own = int(mix(ids.view(np.uint64)).sum() % np.uint64(buckets)) if len(ids) else 0
     return np.where(aside, -1 - own, (key % np.uint64(buckets)).astype(np.int64))
 
 
@@ -96,12 +98,14 @@ def unpacked(table: pa.Table) -> dict[str, np.ndarray]:
     parts: dict[str, list[np.ndarray]] = {k: [] for k in ("key", "hash", "id", "row", "first", "size")}
     for n, body, ids, rows in zip(*(table.column(c).to_pylist() for c in ("n", "body", "ids", "rows")), strict=True):
         at = 0
+        ids = np.cumsum(_unplaned(ids, len(ids) // 8, 8)).view(np.int64)
+        rows = np.frombuffer(rows, np.int64) if rows else np.zeros(len(ids), np.int64)
         for name, kept in _WIDTHS.items():
             x = _unplaned(body[at : at + n * kept], n, kept)
             at += n * kept
             if name == "doc":
-                parts["id"].append(np.frombuffer(ids, np.int64)[x.astype(np.int64)])
-                parts["row"].append(np.frombuffer(rows, np.int64)[x.astype(np.int64)])
+                parts["id"].append(ids[x.astype(np.int64)])
+                parts["row"].append(rows[x.astype(np.int64)])
             else:
                 parts[name].append(x)
     out = {k: np.concatenate(v) for k, v in parts.items()}
@@ -190,7 +194,7 @@ def _runs_of(kind: str, buckets: int):
         noted = common & new
         memory.note(key[noted], span[noted], least[noted])
         aside = settled | check
-        return packed(_bucket(key, aside, rows, buckets), key, span, doc, first - of[doc], last - first + 1, np.where(aside, check, mark), ids, rows)
+        return packed(_bucket(key, aside, ids, buckets), key, span, doc, first - of[doc], last - first + 1, np.where(aside, check, mark), ids, rows)
 
     return run
 
@@ -229,15 +233,19 @@ def _ranges(x: dict[str, np.ndarray], keep: np.ndarray, state: np.ndarray) -> pa
 RANGES = "doc_id long, row long, first long, size long, state tinyint, key long"
 
 
-def _windows_of(kind: str, buckets: int):
-    """Every window of the runs to be checked, named."""
+def _windows_of(kind: str, buckets: int, part: int, parts: int):
+    """Every window of the runs to be checked whose key belongs to the part, named; equal windows have equal keys."""
 
     def run(batch: pa.RecordBatch, raw: np.ndarray, at: np.ndarray) -> pa.RecordBatch | None:
-        names, of = tokens_of(kind, raw, at)
         lists = column_of(batch, "checks")
         doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
         run_ = lists.flatten()
         first, size, key = (run_.field(k).to_numpy(zero_copy_only=False) for k in ("first", "size", "key"))
+        mine = key % parts == part
+        if not mine.any():
+            return None
+        doc, first, size, key = (x[mine] for x in (doc, first, size, key))
+        names, of = tokens_of(kind, raw, at)
         each = np.repeat(np.arange(len(doc)), size)
         start = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
         doc, key = doc[each], key[each].astype(np.uint64)
@@ -248,7 +256,7 @@ def _windows_of(kind: str, buckets: int):
         order, _, least = _first_of(name, key, ids[doc])
         settled = np.zeros(len(key), bool)
         settled[order] = ids[doc][order] > least
-        return packed(_bucket(name, settled, rows, buckets), name, key, doc, start, np.ones(len(key), np.int64), np.zeros(len(key), bool), ids, rows)
+        return packed(_bucket(name, settled, ids, buckets), name, key, doc, start, np.ones(len(key), np.int64), np.zeros(len(key), bool), ids, rows)
 
     return run
 
@@ -294,18 +302,24 @@ def repeated_windows(docs: DataFrame, kind: str) -> DataFrame:
     docs: doc_id (long, not null), row (long, tells rows of one doc_id apart), text;
     kind: "bytes" or "words", the tokens of which a window has WINDOW.  A partition of docs
     must give its rows in the same order if it is computed again, as those of tables do:
-    what is sent depends on the slices.
+    what is sent depends on the slices.  The result is stored.
     """
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, -(-volume // BUCKET_BYTES))
     runs = over_texts(docs, _runs_of(kind, buckets), PACKED)
     ranges = stored(runs.groupBy("bucket").applyInArrow(_meet, RANGES))
-    checks = ranges.where("state = 1").groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "size", "key")).alias("checks"))
-    # in an order that a task that is run again meets as well
-    texts = matched(docs, stored(checks)).sortWithinPartitions("doc_id", "row")
-    windows = over_texts(texts, _windows_of(kind, buckets), PACKED)
-    decided = windows.groupBy("bucket").applyInArrow(_decide, RANGES)
-    return ranges.where("state = 0").union(decided).groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "size")).alias("runs"))
+    checks = stored(ranges.where("state = 1").groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "size", "key")).alias("checks")))
+    # stored texts have an order that a task that is run again meets as well
+    texts = stored(matched(docs, checks))
+    discarded(checks)
+    decided = [stored(over_texts(texts, _windows_of(kind, buckets, part, WINDOW_PASSES), PACKED).groupBy("bucket").applyInArrow(_decide, RANGES)) for part in range(WINDOW_PASSES)]
+    discarded(texts)
+    whole = ranges.where("state = 0")
+    for some in decided:
+        whole = whole.union(some)
+    found = stored(whole.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "size")).alias("runs")))
+    discarded(ranges, *decided)
+    return found
 
 
 #: Keys that may be broadcast in matched().
@@ -328,14 +342,24 @@ def matched(docs: DataFrame, found: DataFrame, rest: Callable[[DataFrame], DataF
 
 def with_runs(docs: DataFrame, kind: str) -> DataFrame:
     """All columns of docs (doc_id, row and text among them) with runs, which is null where nothing is repeated."""
-    found = stored(repeated_windows(docs.select("doc_id", "row", "text"), kind))
+    found = repeated_windows(docs.select("doc_id", "row", "text"), kind)
     return matched(docs, found, lambda others: others.withColumn("runs", F.lit(None).cast(found.schema["runs"].dataType)))
 
 
 def keyed(docs: DataFrame, *others: str | Column) -> DataFrame:
-    """doc_id, row, text with the defined stand-ins for nulls, and other columns."""
+    """doc_id, row, text with the defined stand-ins for nulls, and other columns; row is 0 where no other row has the doc_id."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"), *others)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    again = cut(docs.groupBy(key.alias("again_")).count().where("count > 1").select("again_"))
+    many = again.count()
+    if not many:
+        row = F.lit(0).cast("long")
+    elif many > BROADCAST_ROWS:
+        row = F.xxhash64(text)
+    else:
+        docs = docs.join(F.broadcast(again), key == F.col("again_"), "left")
+        row = F.when(F.col("again_").isNotNull(), F.xxhash64(text)).otherwise(F.lit(0))
+    return docs.select(key.alias("doc_id"), row.alias("row"), text.alias("text"), *others)
 
 
 def covered(batch: pa.RecordBatch, of: np.ndarray) -> np.ndarray:

@@ -53,11 +53,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: With it Spark gives up a query's shuffle files when the query ends, not when the driver's memory happens to be collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to the shared checkpoint folder and read from there: for large results, as it compresses."""
-    place = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    """The same rows, written as Parquet to the shared checkpoint folder and read from there: for large results, as it compresses.
+
+    The shuffle files of the write are gone when this returns.
+    """
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(place)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete what :func:`stored` wrote; nothing may read these tables any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for place in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -215,6 +215,35 @@ def test_a_passage_of_many_documents(spark, monkeypatch, kind, slice_bytes):
     assert slice_bytes < 30_000 or sent[False] > 2 * 60
 
 
+def test_what_repeats_leave_on_disk(spark):
+    """Row hashes are sent for repeated ids only; tables and shuffle files of a step go when the next has what it needs."""
+    import time
+    from pathlib import Path
+
+    from arborspark.llm import repeats, shared
+
+    rows = [(i, t) for i, t in crowd() if 0 <= i < 1000]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    sent = shared.over_texts(repeats.keyed(frame), repeats._runs_of("bytes", 500), repeats.PACKED)
+    assert sent.agg(F.sum(F.length("rows"))).first()[0] == 0
+    twice = repeats.keyed(frame.union(frame.limit(1))).where("row <> 0")
+    assert [r.doc_id for r in twice.collect()] == [rows[0][0]] * 2
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    tables = lambda: {x for x in folder.iterdir() if len(x.name) == 32}
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum("shuffle_" in x for x in disk.getAllFiles().mkString("|").split("|"))
+    keyed = repeats.keyed(frame).cache()
+    keyed.count()
+    old, before = tables(), shuffles()
+    repeats.repeated_windows(keyed, "bytes")
+    assert len(tables() - old) == 1
+    for _ in range(100):  # files go a little after the query
+        if shuffles() <= before + 2:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before + 2  # an aggregate of one number may stay
+
+
 def test_bpe(docs, rows):
     import tiktoken
 
