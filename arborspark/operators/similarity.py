@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from ..model import Ontology
+from .cuts import cut
 from .information import information
 
 MEASURES = ("resnik", "lin", "jiang_conrath")
@@ -65,8 +66,18 @@ def best_in_profile(onto: Ontology, terms: DataFrame, profiles: DataFrame, ics:
 
 def _all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b: every term of one list with every term of the other, as the comparison of all with all asks for."""
-    one, two = left.select(F.col("term").alias("a")).withColumn("k_", F.lit(1)), right.select(F.col("term").alias("b")).withColumn("k_", F.lit(1))
-    return one.join(two, "k_").select("a", "b")
+    return left.select(F.col("term").alias("a")).crossJoin(right.select(F.col("term").alias("b")))
+
+
+#: Pairs of profiles that a task writes, and pairs of classes in one list.
+TASK_PAIRS, LIST_PAIRS = 250_000, 4096
+
+
+def _classed(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """profile_id, class of every profile, and class, n, terms: profiles of the same terms, each as often, are of one class."""
+    each = cut(profiles.where("profile_id is not null").groupBy("profile_id").agg(F.sort_array(F.collect_list("term")).alias("terms"), F.count("*").alias("n")))
+    classes = cut(each.select("terms", "n").distinct().withColumn("class", F.monotonically_increasing_id()))
+    return cut(each.join(classes, ["terms", "n"]).select("profile_id", "class")), classes
 
 
 def pair_index(profiles: DataFrame, others: DataFrame | None = None) -> DataFrame:
@@ -82,26 +93,34 @@ def compare_profiles(onto: Ontology, profiles: DataFrame, others: DataFrame | No
     profile, 0 if there is none, averaged; both directions weighted by their numbers
     of terms.  A distance is maximised as well.  The greatest similarity of a
     distinct term to a profile is found once, whatever the number of profiles with
-    the term.
+    the term, and profiles of the same terms are compared once, as a class; their
+    pairs are written by as many tasks as the pairs' number asks for.  Rows without a
+    profile_id belong to no profile.
     """
     external = others is not None
-    others = others if external else profiles
-    known = term_similarity(onto, pair_index(profiles, others), measure, ics)
+    of_a, classes_a = _classed(profiles)
+    of_b, classes_b = _classed(others) if external else (of_a, classes_a)
+    one, two = (c.select("class", F.explode("terms").alias("term")) for c in (classes_a, classes_b))
+    known = cut(term_similarity(onto, pair_index(one, two), measure, ics))
     both = known.union(known.where("a <> b").select("b", "a", "similarity"))
 
     def directed(one: DataFrame, two: DataFrame) -> DataFrame:
-        best = both.join(two.select("profile_id", F.col("term").alias("b")).distinct(), "b").groupBy("a", F.col("profile_id").alias("to")).agg(F.max("similarity").alias("best"))
-        sums = one.select("profile_id", F.col("term").alias("a")).join(best, "a").groupBy("profile_id", "to").agg(F.sum("best").alias("total"))
-        return sums
-
-    size = lambda p, name: p.groupBy("profile_id").agg(F.count("*").alias(name))
-    a, b = size(profiles, "na").withColumnRenamed("profile_id", "profile_a"), size(others, "nb").withColumnRenamed("profile_id", "profile_b")
-    grid = a.withColumn("k_", F.lit(1)).join(b.withColumn("k_", F.lit(1)), "k_").drop("k_")
-    forth = directed(profiles, others).select(F.col("profile_id").alias("profile_a"), F.col("to").alias("profile_b"), F.col("total").alias("forth"))
-    out = grid.join(forth, ["profile_a", "profile_b"], "left").na.fill(0.0, ["forth"])
-    if not bidirectional:
-        return out.select("profile_a", "profile_b", (F.col("forth") / F.col("na")).alias("similarity"))
-    back = directed(others, profiles) if external else directed(profiles, profiles)
-    back = back.select(F.col("to").alias("profile_a"), F.col("profile_id").alias("profile_b"), F.col("total").alias("back"))
-    out = out.join(back, ["profile_a", "profile_b"], "left").na.fill(0.0, ["back"])
-    return out.select("profile_a", "profile_b", ((F.col("forth") + F.col("back")) / (F.col("na") + F.col("nb"))).alias("similarity"))
+        best = both.join(two.select("class", F.col("term").alias("b")).distinct(), "b").groupBy("a", F.col("class").alias("to")).agg(F.max("similarity").alias("best"))
+        return cut(one.select("class", F.col("term").alias("a")).join(best, "a").groupBy("class", "to").agg(F.sum("best").alias("total")))
+
+    size = lambda c, name: c.select(F.col("class").alias(f"class_{name}"), F.col("n").alias(f"n{name}"))
+    grid = size(classes_a, "a").crossJoin(size(classes_b, "b"))
+    sums = directed(one, two)
+    out = grid.join(sums.select(F.col("class").alias("class_a"), F.col("to").alias("class_b"), F.col("total").alias("forth")), ["class_a", "class_b"], "left").na.fill(0.0, ["forth"])
+    value = F.col("forth") / F.col("na")
+    if bidirectional:
+        back = (directed(two, one) if external else sums).select(F.col("to").alias("class_a"), F.col("class").alias("class_b"), F.col("total").alias("back"))
+        out = out.join(back, ["class_a", "class_b"], "left").na.fill(0.0, ["back"])
+        value = (F.col("forth") + F.col("back")) / (F.col("na") + F.col("nb"))
+    # one class may hold nearly all profiles: its members are dealt to tasks before they meet the others'
+    lists = -(-classes_b.count() // LIST_PAIRS) or 1
+    listed = out.groupBy("class_a", F.pmod(F.hash("class_b"), F.lit(lists)).alias("list")).agg(F.collect_list(F.struct("class_b", value.alias("similarity"))).alias("to"))
+    tasks = -(-of_a.count() * of_b.count() // TASK_PAIRS) or 1
+    left = of_a.select(F.col("profile_id").alias("profile_a"), F.col("class").alias("class_a")).join(listed, "class_a").repartition(tasks, "profile_a", "list")
+    right = of_b.select(F.col("profile_id").alias("profile_b"), F.col("class").alias("class_b"))
+    return left.select("profile_a", F.inline("to")).join(F.broadcast(right), "class_b").select("profile_a", "profile_b", "similarity")

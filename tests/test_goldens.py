@@ -128,6 +128,28 @@ def test_compare_profiles(load, spark):
     assert {(r.profile_a, r.profile_b): r.similarity for r in outside.collect()}[("A", "C")] == 0
 
 
+def test_compare_many_equal_profiles(load, spark):
+    """Profiles of the same terms are compared once: no step makes more rows than there are pairs of profiles."""
+    onto = load("BRANCHES")
+    kinds = [["root", "branchA", "branchB", "branchAChild1", "branchAChild2"], ["branchA", "branchB"], ["branchA", "branchB", "branchB"]]
+    rows = [(f"{i}", t) for i in range(60) for t in kinds[i % 3 if i < 6 else 0]]
+    made = similarity.compare_profiles(onto, spark.createDataFrame(rows, "profile_id string, term string"))
+    got = {(int(r.profile_a), int(r.profile_b)): r.similarity for r in made.collect()}
+    ic = {(r.a, r.b): r.similarity for r in similarity.term_similarity(onto, similarity.pair_index(spark.createDataFrame([(t,) for t in kinds[0]], "term string"))).collect()}
+    total = lambda p, q: sum(max(ic[min(a, b), max(a, b)] for b in q) for a in p)
+    of = [kinds[i % 3 if i < 6 else 0] for i in range(60)]
+    assert got == {(i, j): pytest.approx((total(p, q) + total(q, p)) / (len(p) + len(q))) for i, p in enumerate(of) for j, q in enumerate(of)}
+
+    def most(plan) -> int:
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return most(plan.executedPlan())
+        inner = [plan.plan()] if plan.getClass().getSimpleName().endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = plan.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *map(most, inner)])
+
+    assert most(made._jdf.queryExecution().executedPlan()) == 60 * 60
+
+
 def test_cleaning(load, spark):
     onto, branches = load("HIERARCHICAL"), load("BRANCHES")
     prof = long(spark, p=["Parental", "Child2"])
