@@ -8,6 +8,7 @@ and after each, a task settles the links that it holds among themselves, at most
 about TASK_LINKS of them: they become stars around their smallest nodes, which
 joins nothing that was apart and leaves fewer rounds.  Links that fit one task are
 thereby settled at once.  Rounds are written to the shared checkpoint folder.
+Native components leave this step out: DataFrame operations only, in more rounds.
 """
 
 from __future__ import annotations
@@ -63,18 +64,20 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, native: bool = False) -> DataFrame:
     """node, component (its smallest reachable node) of every node that has a link (a, b), both long.
 
     Self links, repeated links and links of null ends are allowed and mean nothing.
+    native: no Python on the executors, so no task settles links by itself.
     """
     edges = cut(links.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("a is not null and b is not null and u <> v").distinct())
     total, before = edges.count(), None
     for _ in range(most_rounds if total else 0):
-        tasks = -(-total // TASK_LINKS)
-        edges = cut(edges.coalesce(tasks).mapInArrow(_settled, "u long, v long").distinct() if tasks > 1 else edges.coalesce(1).mapInArrow(_settled, "u long, v long"))
-        if tasks == 1:
-            break
+        if not native:
+            tasks = -(-total // TASK_LINKS)
+            edges = cut(edges.coalesce(tasks).mapInArrow(_settled, "u long, v long").distinct() if tasks > 1 else edges.coalesce(1).mapInArrow(_settled, "u long, v long"))
+            if tasks == 1:
+                break
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -215,11 +215,11 @@ def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     order = Window.partitionBy("turn", "lead").orderBy("x", "y")
     beside = ordered.select(F.col("id").alias("a"), F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), *(F.lag(c).over(order).alias(d) for c, d in (("id", "b"), ("hi", "b_hi"), ("lo", "b_lo"))))
     links = cut(beside.where(F.col("b").isNotNull() & (distance("a_", "b_") <= radius)).select("a", "b").distinct())
-    parts = components(links).withColumnRenamed("node", "id")
+    parts = components(links, native=True).withColumnRenamed("node", "id")
     parted = cut(distinct.join(parts, "id", "left").select("id", "hi", "lo", F.coalesce("component", "id").alias("part")))
     apart = F.col("a_part") < F.col("b_part")
     more = _Tables(radius).pairs(parted, "part", given=apart).select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct()
-    classes = components(more).select(F.col("node").alias("part"), F.col("component").alias("class"))
+    classes = components(more, native=True).select(F.col("node").alias("part"), F.col("component").alias("class"))
     named = cut(parted.join(classes, "part", "left").select("id", F.coalesce("class", "part").alias("class")).join(distinct, "id"))
     least = named.groupBy("class").agg(F.min("least").alias("near_class"))
     return named.join(least, "class").select("hi", "lo", "near_class")

@@ -107,6 +107,37 @@ def test_components_of_large_stars(spark, monkeypatch):
     assert dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect())) == want
 
 
+@pytest.mark.parametrize("size", [1, 2, 700])
+def test_native_components(spark, monkeypatch, size):
+    """A long chain, a star, a small cycle: without any task of Python, as op1 asks for."""
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda *_, **__: pytest.fail("Python on the executors"))
+    links = [(7 * i % 701, 7 * (i + 1) % 701) for i in range(size)] + [(1000, 1001 + i) for i in range(size)] + [(2003, 2001), (2001, 2002), (2002, 2003), (5, 5), (None, 4)]
+    near = {}
+    for a, b in links:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(near):
+        todo = [x] if x not in want else []
+        while todo:
+            y = todo.pop()
+            if y not in want:
+                want[y] = x
+                todo += near[y]
+    assert dict(map(tuple, components(spark.createDataFrame(links, "a long, b long"), native=True).collect())) == want
+
+
+def test_fingerprints_run_no_python(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda *_, **__: pytest.fail("Python on the executors"))
+    frame = spark.createDataFrame([(i, "one two three four five six seven eight " * 20 + ("nine" if i % 2 else "")) for i in range(8)], "doc_id long, text string")
+    assert {r.near_class for r in simhash.edited_fingerprints(frame).collect()} == {0}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7), (9, 8), (8, 10), (10, 3), (None, 1), (2, 1)], "a long, b long")
     assert {tuple(r) for r in components(links).collect()} == {(1, 1), (2, 1), (3, 1), (8, 1), (9, 1), (10, 1), (4, 4), (5, 4)}
